@@ -28,3 +28,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.simhash import simhash_groups
 
     return simhash_groups(read_table(spark, sf_dir, "documents"))
+
+
+@query("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.mixing import mix_plan
+
+    return mix_plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
