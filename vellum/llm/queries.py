@@ -35,3 +35,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.mixing import mix_plan
 
     return mix_plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+@query("op9_sstable")
+def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.sstable import read_digest, write_shards
+
+    return read_digest(write_shards(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))

@@ -15,6 +15,7 @@ NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _SEQ = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -70,6 +71,14 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def piece_names(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit names of byte ranges."""
+    other = _power(_SEQ, len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE2[raw] * other[0][:-1], out=total[1:])
+    return word_hashes(raw, start, end), (total[end] - total[start]) * other[1][start]
+
+
 class Sequences:
     """Names of word sequences, each in constant time."""
 
