@@ -55,3 +55,32 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.sstable import read_digest, write_shards
 
     return read_digest(write_shards(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
+
+
+_SUBSTRING_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), places AS (
+  SELECT doc_id, unnest(range(len(words) - 19)) AS s, words FROM w WHERE len(words) >= 20
+), win AS (
+  SELECT doc_id, s, array_to_string(words[s + 1 : s + 20], ' ') AS seq FROM places
+), rep AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY seq ORDER BY doc_id, s) AS k FROM win) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, s + i AS p FROM rep, range(20) AS r(i)
+), flat AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS p FROM w
+), kept AS (
+  SELECT f.doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM flat f ANTI JOIN gone g USING (doc_id, p) GROUP BY 1
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op2_substring_dedup", _SUBSTRING_SQL)
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.substring import substring_dedup
+
+    found = substring_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("_c0").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
