@@ -84,3 +84,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = substring_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("_c0").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op4_cross_polytope")
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.vectors import cosine_groups
+
+    return cosine_groups(read_table(spark, sf_dir, "embeddings"))
