@@ -123,6 +123,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     plan = "key string, source_size long, target double, quota long, shards long"
     sources = checkpoint(sources.groupBy(F.lit(0).alias("_all")).applyInPandas(_apportion_sources(block_words, shard_words, weights), plan))
     dealt = sized.join(sources, "key").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "shards"))
+    dealt = dealt.repartition("key", "shard")  # else all that follows would stay dealt by source alone
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
     quotas = shards.groupBy("key").applyInPandas(_apportion_shards(block_words, seed), "key string, shard long, blocks long, passes long, rest long, step long, shift long")
     line = Window.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
