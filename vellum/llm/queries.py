@@ -111,3 +111,24 @@ def op10_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.topk import exact_topk
 
     return exact_topk(read_table(spark, sf_dir, "embeddings"))
+
+
+#: Host and path rules of the query on pages.
+URL_RULES = (
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+)
+
+
+@query("op1_url_rules")
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the same id say which pages of the mining sample are bad: low quality or toxic."""
+    from vellum.llm.urls import judge_urls
+
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), "block").when((F.col("quality") == 1) & (F.col("toxic") == 0), "allow")
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("label"))
+    return judge_urls(pages, pages.join(labels, "page_id").select("url", "label"), URL_RULES)
