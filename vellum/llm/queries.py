@@ -132,3 +132,10 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), "block").when((F.col("quality") == 1) & (F.col("toxic") == 0), "allow")
     labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("label"))
     return judge_urls(pages, pages.join(labels, "page_id").select("url", "label"), URL_RULES)
+
+
+@query("op8_rule_ensemble")
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.quality import quality_scores
+
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))[0]
