@@ -139,3 +139,23 @@ def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.quality import quality_scores
 
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))[0]
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: `lang` is what they declare and `source` their host."""
+    from vellum.llm.language import identify
+
+    docs = read_table(spark, sf_dir, "documents")
+    return identify(docs, "doc_id", F.col("text"), F.col("lang"), F.col("source")).withColumnRenamed("id", "doc_id")
+
+
+@query("pages_language_id")
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on raw pages, with markup language, address suffix and host."""
+    from vellum.llm.language import declared_language, identify, visible_text
+    from vellum.llm.urls import host_of
+
+    pages = read_table(spark, sf_dir, "pages")
+    found = identify(pages, "page_id", visible_text(F.col("html")), declared_language(F.col("html")), F.nullif(host_of(F.col("url")), F.lit("")))
+    return found.withColumnRenamed("id", "page_id")
