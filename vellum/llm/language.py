@@ -35,12 +35,22 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
+_PLAIN = _LETTER.copy()
+_PLAIN[[9, 10, 13, 32]] = True
+#: Share of texts that the background is taken to have beforehand.
+UNKNOWN_PRIOR = 0.001
 
 
 def _trigrams(raw: np.ndarray) -> np.ndarray:
-    """The bucket of the three bytes that start at each position."""
+    """The bucket of the three lowered bytes that start at each position.
+
+    Those of other bytes than letters and white space, such as numbers, keys and addresses hold,
+    say nothing of a language: they share bucket zero, which every language gives the same odds.
+    """
+    plain = _PLAIN[raw]
     h = _TABLES[0][raw[:-2]] + _TABLES[1][raw[1:-1]] + _TABLES[2][raw[2:]]
-    return (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+    found = ((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)) % np.uint32(BUCKETS - 1) + np.uint32(1)
+    return np.where(plain[:-2] & plain[1:-1] & plain[2:], found, np.uint32(0))
 
 
 def _count(languages: Sequence[str]):
@@ -70,10 +80,12 @@ def _likelihoods(table: np.ndarray):
             raw, at = text_bytes(batch.column(3))
             raw = _LOWER[raw]
             stop = np.maximum(at[1:] - 2, at[:-1])
-            n = stop - at[:-1]
+            n = (stop - at[:-1]).astype(np.float64)
             means = np.zeros((batch.num_rows, len(table)))
             if len(raw) > 2:
                 buckets, sums = _trigrams(raw), np.zeros(len(raw) - 1)
+                np.cumsum(buckets > 0, out=sums[1:])
+                n = (sums[np.minimum(stop, len(sums) - 1)] - sums[np.minimum(at[:-1], len(sums) - 1)]) * (n > 0)
                 for k, row in enumerate(table):
                     np.cumsum(row[buckets], out=sums[1:])
                     some = n > 0
@@ -122,8 +134,10 @@ def identify(rows: DataFrame, id_col: str, text: Column, declared: Column, host:
     counts = np.zeros(len(languages) * BUCKETS)
     counts[cells["cell"].to_numpy(np.int64)] = cells["n"]
     counts = counts.reshape(len(languages), BUCKETS) + TRIGRAM_PRIOR
-    table = np.log(counts / counts.sum(1, keepdims=True))
+    counts[:, 0] = 0.0
+    table = np.log(np.maximum(counts, TRIGRAM_PRIOR) / counts.sum(1, keepdims=True))
     table = np.vstack([table, np.full(BUCKETS, -np.log(BUCKETS))]).astype(np.float32)
+    table[:, 0] = 0.0
     scored = checkpoint(base.mapInArrow(_likelihoods(table), f"id {dict(base.dtypes)['id']}, declared string, host string, text array<double>, letters boolean"))
     return _fuse(scored, languages, min_posterior)
 
@@ -159,7 +173,7 @@ def _fuse(scored: DataFrame, languages: Sequence[str], min_posterior: float) ->
             declared = F.when(F.col("declared") == d, v).otherwise(declared)
         terms.append(F.col("text")[k] + declared + F.log(host[k]))
     # the background declares nothing and lives nowhere: an even share of every evidence
-    flat = F.col("text")[size] + F.when(F.col("declared").isin(*said), float(-np.log(max(1, size)))).otherwise(0.0) - float(np.log(size + 1.0))
+    flat = F.col("text")[size] + F.when(F.col("declared").isin(*said), float(-np.log(max(1, size)))).otherwise(0.0) + float(np.log(UNKNOWN_PRIOR))
     out = out.withColumn("terms", F.array(*terms, flat)).withColumn("top", F.array_max("terms"))
     mass = F.aggregate("terms", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     at = (F.array_position("terms", F.col("top")) - 1).cast("int")
