@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.session import checkpoint
@@ -77,3 +77,97 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     nodes = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
     lone = nodes.join(found.union(roots).select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
     return found.union(roots).union(lone)
+
+
+def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", rounds: int = 200) -> DataFrame:
+    """Nodes reached from the roots along directed edges, roots included; cycles are harmless.
+
+    The frontier advances by a join and an anti-join a round; every round is checkpointed.
+    """
+    links = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).dropna().distinct()
+    seen = checkpoint(roots.select(F.col(node).alias("node")).dropna().distinct())
+    front = seen
+    for _ in range(rounds):
+        step = front.join(links, front["node"] == links["_s"]).select(F.col("_d").alias("node")).distinct()
+        front = checkpoint(step.join(seen, "node", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = checkpoint(seen.union(front))
+    raise RuntimeError(f"not all reached after {rounds} rounds")
+
+
+def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, node: str = "node", **names: str) -> DataFrame:
+    """Nodes that no root reaches: what a collector would drop."""
+    return nodes.join(reachable(edges, roots, node=node, **names).withColumnRenamed("node", node), node, "left_anti")
+
+
+def inherited(nodes: DataFrame, key: str, parent: str, values: list[str], depth: int = 64) -> DataFrame:
+    """Nodes with each value taken from the nearest ancestor that has it, themselves first.
+
+    Only nodes that still miss a value climb; a cycle of parents ends at `depth`.
+    """
+    own = nodes.select(F.col(key).alias("_up"), F.col(parent).alias("_next"), *[F.col(v).alias(f"_v_{v}") for v in values])
+    rows = checkpoint(nodes.withColumn("_at", F.col(parent)))
+    for _ in range(depth):
+        missing = F.lit(False)
+        for v in values:
+            missing = missing | F.col(v).isNull()
+        open_ = F.col("_at").isNotNull() & missing
+        if rows.where(open_).isEmpty():
+            break
+        climbing = rows.where(open_).join(own, F.col("_at") == F.col("_up"), "left")
+        climbed = climbing.select(*[F.coalesce(c, f"_v_{c}").alias(c) if c in values else F.col(c) for c in nodes.columns], F.col("_next").alias("_at"))
+        rows = checkpoint(rows.where(~open_).unionByName(climbed))
+    return rows.drop("_at")
+
+
+def fan_out(df: DataFrame, order: list[str], width: int, low: str, group: list[str] | None = None) -> DataFrame:
+    """(level, node, low, high, children): a balanced tree over ordered rows, `width` children a node.
+
+    Without groups the first level ranks rows by range partitions and their counts, so no task sees
+    all rows; each level above has a `width`th of the rows.
+    """
+    group = group or []
+    if group:
+        ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+    else:
+        ranked = global_rank(df, order).withColumn("_n", F.col("rank") - 1)
+    level = ranked.groupBy(*group, F.floor(F.col("_n") / width).alias("node")).agg(F.min(low).alias("low"), F.max(low).alias("high"), F.count("*").alias("children"))
+    out, k = level.withColumn("level", F.lit(0)), 1
+    while not level.where("node > 0").isEmpty():
+        level = checkpoint(level.groupBy(*group, F.floor(F.col("node") / width).alias("node")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("children")))
+        out = out.unionByName(level.withColumn("level", F.lit(k)))
+        k += 1
+    return out
+
+
+def global_rank(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
+    """Rows with `rank` from 1 in a total order, without a window over one partition.
+
+    Rows are sorted into range partitions; each partition's rows are numbered and shifted by the
+    counts of those before it, which are one number a partition.
+    """
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpoint(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    w = Window.partitionBy("_p").orderBy(*order)
+    counts = placed.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = placed.withColumn("_k", F.row_number().over(w))
+    return numbered.join(F.broadcast(counts.select("_p", "_before")), "_p").withColumn("rank", F.col("_k") + F.col("_before")).drop("_p", "_k", "_before")
+
+
+def shared_prefixes(df: DataFrame, sequence: str, order: str, item: str, least: int = 2) -> DataFrame:
+    """(prefix, depth, sequences, example): every prefix that at least `least` sequences begin with.
+
+    A prefix is named by the digest chain of its items, so all depths are one grouped count.
+    """
+    w = Window.partitionBy(sequence).orderBy(order)
+    rows = df.withColumns({"depth": F.row_number().over(w), "_items": F.collect_list(F.sha2(F.coalesce(F.col(item).cast("binary"), F.lit("").cast("binary")), 256)).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    named = rows.select(F.col(sequence), "depth", F.sha2(F.array_join("_items", ""), 256).alias("prefix"))
+    return named.groupBy("prefix", "depth").agg(F.count("*").alias("sequences"), F.min(sequence).alias("example")).where(F.col("sequences") >= least)
+
+
+def dangerous_chains(actions: DataFrame, next_edges: DataFrame, dangerous: list[str], key: str = "node", kind: str = "kind") -> DataFrame:
+    """Nodes whose chain of next actions holds a dangerous one: they reach it along the edges."""
+    bad = actions.where(F.col(kind).isin(*dangerous)).select(F.col(key).alias("node"))
+    return reachable(next_edges, bad, src="dst", dst="src")
