@@ -18,6 +18,8 @@ from vellum.session import checkpoint
 SCALE = 64.0
 SHARD_ROWS, QUERY_ROWS = 8192, 512
 STRIDE = 48
+#: Rows scored in one product.
+SCORED = 2048
 
 
 def _ints(column: pa.Array, width: int) -> np.ndarray:
@@ -37,48 +39,70 @@ class Lists:
         self.ids, self.x = ids, x
         up = np.argsort(x, axis=0, kind="stable").T
         self.order = np.concatenate([up, up[:, ::-1]])  # 2 d lists; d + i is dimension i from the top
-        self.exact = float(np.abs(x).max(initial=0)) < 2**20
-        self.values = x.astype(np.float64) if self.exact else x
-
-    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        if self.exact and np.abs(query).max(initial=0) < 2**20:  # doubles are exact there and faster
-            return (self.values[rows] @ query.astype(np.float64)).astype(np.int64)
-        return self.x[rows] @ query
-
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but the query's own, best first, ties to smaller ids."""
-        n, d = self.x.shape
-        signs = np.flatnonzero(query)
-        lists = np.where(query[signs] > 0, signs + d, signs)
-        seen = np.zeros(n, bool)
-        best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.largest = int(np.abs(x).max(initial=0))
+
+    def _kind(self, queries: np.ndarray) -> type:
+        """The fastest type in which all inner products are exact."""
+        most = self.largest * int(np.abs(queries).max(initial=0)) * max(1, self.x.shape[1])
+        return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of each query's k best rows but those of its own id, ties to smaller ids.
+
+        The block's queries walk the lists together: what one of them meets is scored for all that
+        still walk, in one product of matrices.
+        """
+        (n, d), kind = self.x.shape, self._kind(queries)
+        x, q = self.x.astype(kind), queries.astype(kind)
+        lists = np.where(queries > 0, np.arange(d) + d, np.arange(d))  # the good end for each query
+        seen, walking = np.zeros(n, bool), np.arange(len(queries))
+        best = [np.empty(0, np.int64)] * 3  # query, id, score
+        kth = np.full(len(queries), np.iinfo(np.int64).min)
         depth, stride = 0, STRIDE
-        while depth < n or not len(lists):
+        while len(walking):
             to = min(n, depth + stride)
             met = np.zeros(n, bool)
-            if len(lists):
-                met[self.order[lists, depth:to].ravel()] = True
-            else:
-                met[:], to = True, n  # a query of zeros scores all rows alike
+            met[self.order[np.unique(lists[walking]), depth:to].ravel()] = True
             rows = np.flatnonzero(met & ~seen)
             seen |= met
-            rows = rows[self.ids[rows] != own]
-            ids, score = np.concatenate([best_ids, self.ids[rows]]), np.concatenate([best, self.scores(rows, query)])
-            if len(ids) > k:
-                cut = np.partition(score, len(score) - k)[len(score) - k]
-                near = score >= cut
-                ids, score = ids[near], score[near]
-            order = np.lexsort((ids, -score))[:k]
-            best_ids, best = ids[order], score[order]
+            for i in range(0, len(rows), SCORED):
+                part = rows[i : i + SCORED]
+                score = (q[walking] @ x[part].T).astype(np.int64, copy=False) if kind is np.int64 else q[walking] @ x[part].T
+                floor = kth[walking]
+                if (floor == np.iinfo(np.int64).min).any() and len(part) > k + 1:
+                    # k + 1 as a query's own row may be among them; rows that repeat its id only lower it
+                    local = np.partition(score, len(part) - k - 1, axis=1)[:, len(part) - k - 1]
+                    floor = np.maximum(floor, local.astype(np.int64)) if self._lone(part) else floor
+                a, c = np.nonzero(score >= floor[:, None])
+                a_q, c_id = walking[a], self.ids[part[c]]
+                other = c_id != own[a_q]
+                best = self._merge(best, [a_q[other], c_id[other], score[a, c][other].astype(np.int64)], k, kth)
             if to >= n:
                 break
             # of each list the component at the depth: no row further on has a better one
-            at = self.order[lists, to]
-            bound = int((self.x[at, signs] * query[signs]).sum())
-            if len(best) == k and bound < best[-1]:
-                break
+            at = self.x[self.order[lists[walking], to], np.arange(d)]
+            bound = (at * queries[walking]).sum(1)
+            walking = walking[~(bound < kth[walking])]
             depth, stride = to, stride * 8
-        return best_ids, best
+        return best[0], best[1], best[2]
+
+    def _lone(self, part: np.ndarray) -> bool:
+        """Whether no id of these rows repeats."""
+        ids = self.ids[part]
+        return len(np.unique(ids)) == len(ids)
+
+    @staticmethod
+    def _merge(best: list[np.ndarray], new: list[np.ndarray], k: int, kth: np.ndarray) -> list[np.ndarray]:
+        """The k best of each query; raises the queries' kth scores in place where they have k."""
+        query, ids, score = (np.concatenate(c) for c in zip(best, new))
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        first = np.r_[True, query[1:] != query[:-1]] if len(query) else np.empty(0, bool)
+        rank = np.arange(len(query)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(query) else query
+        full = rank == k - 1
+        kth[query[full]] = score[full]
+        keep = rank < k
+        return [query[keep], ids[keep], score[keep]]
 
 
 def _answer(k: int):
@@ -90,13 +114,9 @@ def _answer(k: int):
         q, r = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (q, r))
         width = max(int(np.diff(c.offsets.to_numpy()).max(initial=0)) for c in (q, r))
         lists = Lists(rows.column("vec_id").to_numpy(), _ints(r, width))
-        out_q, out_v, out_s = [], [], []
-        for own, query in zip(queries.column("vec_id").to_pylist(), _ints(q, width)):
-            ids, score = lists.search(own, query, k)
-            out_q.append(np.full(len(ids), own, np.int64))
-            out_v.append(ids)
-            out_s.append(score)
-        return pa.table([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], schema)
+        own = queries.column("vec_id").to_numpy()
+        query, ids, score = lists.search(own, _ints(q, width), k)
+        return pa.table([pa.array(own[query]), pa.array(ids), pa.array(score)], schema)
 
     return run
 
