@@ -68,4 +68,5 @@ def budget_fold(df: DataFrame, order: Sequence[str], size: str, most_rows: int =
             rows, used = rows + fits, used + (n if fits else 0)
         return part[keep]
 
-    return df.groupBy(F.lit(0).alias("_one")).applyInPandas(lambda part: fold(part[df.columns]), df.schema)
+    columns = df.columns
+    return df.groupBy(F.lit(0).alias("_one")).applyInPandas(lambda part: fold(part[columns]), df.schema)

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.scalars import log2_bucket, overlapping_count
+from vellum.operators.aggregate import byte_statistics, map_sum, occurrence_counts, producer_stats, risk_rollup, totals
+from vellum.operators.dedup import duplicate_roles, duplicate_stats, factor_groups, fingerprint, fixed_point_canonical, redirects, rewrite_references, scoped_duplicates
+from vellum.operators.sample import budget_fold, digest_sample, rankings, shape_cap, shape_key, top_by
 from vellum.plans.registry import query
 from vellum.session import read_table
 
@@ -33,3 +37,304 @@ def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("largest").alias("largest"),
         F.coalesce(F.sum(F.when(F.col("all").isNotNull(), F.col("n"))), F.lit(0).cast("long")).alias("in_duplicate_groups"),
     )
+
+
+# --- duplicates ---------------------------------------------------------------------------------
+
+
+@query(
+    "dup_payload_stats",
+    """
+SELECT COUNT(*) AS duplicate_groups, CAST(COALESCE(SUM((n - 1) * size), 0) AS BIGINT) AS wasted_bytes
+FROM (SELECT sha256(text) AS d, COUNT(*) AS n, MIN(strlen(text)) AS size FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 1)
+""",
+)
+def dup_payload_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_stats(read_table(spark, sf_dir, "documents"), "text")
+
+
+_BY_ROLE = """
+SELECT role, COUNT(*) AS duplicate_groups, CAST(SUM((n - 1) * size) AS BIGINT) AS wasted_bytes FROM (
+  SELECT sha256(text) AS d, COUNT(*) AS n, MIN(strlen(text)) AS size,
+         CASE WHEN COUNT(DISTINCT {role}) = 0 THEN 'other' WHEN COUNT(DISTINCT {role}) = 1 THEN MIN({role}) ELSE 'mixed' END AS role
+  FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 1
+) GROUP BY role
+"""
+
+
+@query("dup_by_role_source", _BY_ROLE.format(role="source"))
+def dup_by_role_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_roles(read_table(spark, sf_dir, "documents"), "text", "source")
+
+
+@query("dup_by_role_lang", _BY_ROLE.format(role="lang"))
+def dup_by_role_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_roles(read_table(spark, sf_dir, "documents"), "text", "lang")
+
+
+@query(
+    "canonical_redirects",
+    """
+SELECT doc_id, canonical FROM (SELECT doc_id, MIN(doc_id) OVER (PARTITION BY text) AS canonical FROM documents WHERE text IS NOT NULL) WHERE doc_id <> canonical
+""",
+)
+def canonical_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", fingerprint(F.col("text").cast("binary")).alias("fp"))
+    return redirects(docs, "doc_id", "fp")
+
+
+@query(
+    "redirect_rewrite",
+    """
+WITH r AS (SELECT doc_id, MIN(doc_id) OVER (PARTITION BY text) AS canonical FROM documents WHERE text IS NOT NULL)
+SELECT l.doc_id AS src, COALESCE(r.canonical, l.doc_id) AS dst, quality FROM labels l LEFT JOIN r ON l.doc_id = r.doc_id
+""",
+)
+def redirect_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = canonical_redirects(spark, sf_dir).withColumnRenamed("doc_id", "key")
+    edges = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst"), "quality")
+    return rewrite_references(edges, moved)
+
+
+@query(
+    "canonical_lines",
+    """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, COUNT(*) AS lines, COUNT(DISTINCT line) AS distinct_lines FROM l GROUP BY doc_id
+""",
+)
+def canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_distinct("line").alias("distinct_lines"))
+
+
+@query(
+    "factor_groups",
+    """
+SELECT p_name AS body, COUNT(*) AS copies, CAST((COUNT(*) - 1) * strlen(p_name) AS BIGINT) AS saved FROM part WHERE p_name IS NOT NULL GROUP BY p_name
+HAVING COUNT(*) >= 2 AND (COUNT(*) - 1) * strlen(p_name) >= 10
+""",
+)
+def factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factor_groups(read_table(spark, sf_dir, "part").withColumnRenamed("p_name", "body"), "body", 2, 10)
+
+
+@query(
+    "scoped_dup",
+    """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT sha256(line) AS fp, COUNT(*) AS copies, COUNT(DISTINCT doc_id) AS scopes, CAST((COUNT(*) - 1) * MIN(strlen(line)) AS BIGINT) AS saved
+FROM l GROUP BY line HAVING COUNT(*) >= 2 AND COUNT(DISTINCT doc_id) >= 2 AND (COUNT(*) - 1) * MIN(strlen(line)) >= 1024
+""",
+)
+def scoped_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    rows = lines.select("doc_id", F.sha2("line", 256).alias("fp"), F.octet_length("line").cast("long").alias("size"))
+    return scoped_duplicates(rows, "fp", "doc_id", "size")
+
+
+@query(
+    "fixed_point_dedup",
+    """
+WITH n AS (SELECT doc_id, lang FROM documents), e AS (SELECT doc_id, doc_id // 10 AS dst FROM documents WHERE doc_id >= 10),
+a AS (SELECT n.doc_id, n.lang || '/' || COALESCE(m.lang, '-') AS c1, m.doc_id AS up FROM n LEFT JOIN e USING (doc_id) LEFT JOIN n m ON m.doc_id = e.dst),
+b AS (SELECT a.doc_id, a.c1 || '/' || COALESCE(q.c1, '-') AS c2, a.up FROM a LEFT JOIN a q ON q.doc_id = a.up),
+c AS (SELECT b.doc_id, b.c2 || '/' || COALESCE(q.c2, '-') AS c3, b.up FROM b LEFT JOIN b q ON q.doc_id = b.up),
+d AS (SELECT c.doc_id, c.c3 || '/' || COALESCE(q.c3, '-') AS c4 FROM c LEFT JOIN c q ON q.doc_id = c.up)
+SELECT doc_id AS key, MIN(doc_id) OVER (PARTITION BY c4) AS canonical FROM d
+""",
+)
+def fixed_point_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    nodes = docs.select(F.col("doc_id").alias("key"), F.col("lang").alias("body"))
+    edges = docs.where("doc_id >= 10").select(F.col("doc_id").alias("src"), F.lit("up").alias("slot"), F.expr("doc_id div 10").alias("dst"))
+    return fixed_point_canonical(nodes, edges)
+
+
+# --- totals, counts and maps ------------------------------------------------------------------
+
+
+@query(
+    "corpus_totals",
+    """
+SELECT COUNT(*) AS documents, CAST(SUM(strlen(text)) AS BIGINT) AS total_bytes, CAST(SUM(n_chars) AS BIGINT) AS total_chars, COUNT(quality) AS labelled,
+  COUNT(*) FILTER (quality = 1) AS good, COUNT(*) FILTER (toxic = 1) AS toxic, COUNT(*) FILTER (n_chars > 10000) AS long_documents
+FROM documents LEFT JOIN labels USING (doc_id)
+""",
+)
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), "n_chars")
+    rows = docs.join(read_table(spark, sf_dir, "labels"), "doc_id", "left")
+    return totals(
+        rows,
+        {"total_bytes": "bytes", "total_chars": "n_chars"},
+        {"labelled": F.col("quality").isNotNull(), "good": F.col("quality") == 1, "toxic": F.col("toxic") == 1, "long_documents": F.col("n_chars") > 10000},
+    )
+
+
+@query(
+    "producer_stats",
+    """
+SELECT source, COUNT(*) AS documents, CAST(SUM(strlen(text)) AS BIGINT) AS total_bytes, CAST(SUM(n_chars) AS BIGINT) AS total_chars, CAST(SUM(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS BIGINT) AS english
+FROM documents WHERE source IS NOT NULL GROUP BY source
+""",
+)
+def producers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return producer_stats(docs, "source", {"total_bytes": F.octet_length("text").cast("long"), "total_chars": "n_chars", "english": (F.col("lang") == "en").cast("long")})
+
+
+@query(
+    "producer_stats_nullable",
+    """
+SELECT quality, COUNT(*) AS documents, CAST(SUM(n_chars) AS BIGINT) AS total_chars, CAST(COALESCE(SUM(toxic), 0) AS BIGINT) AS toxic
+FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY quality
+""",
+)
+def producers_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(read_table(spark, sf_dir, "labels"), "doc_id", "left")
+    return producer_stats(rows, "quality", {"total_chars": "n_chars", "toxic": "toxic"})
+
+
+@query("occurrence_vs_document_counts", "SELECT event_type, COUNT(*) AS occurrences, COUNT(DISTINCT user_id) AS documents FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occurrence_counts(read_table(spark, sf_dir, "events"), "event_type", "user_id")
+
+
+@query(
+    "map_sum",
+    """
+SELECT regexp_extract(props, '"([^"]+)"', 1) AS key, CAST(SUM(CAST(regexp_extract(props, ':\\s*(-?[0-9]+)', 1) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1
+""",
+)
+def map_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "events").select(F.from_json("props", "map<string,bigint>").alias("m"))
+    return map_sum(events, "m")
+
+
+_NEEDLES = {"at": "@", "licence": "licensed", "rights": "All rights", "secret": "token = ", "none": "no such thing"}
+
+
+@query(
+    "risk_rollup",
+    "\nUNION ALL\n".join(
+        f"SELECT '{kind}' AS kind, CAST(SUM((strlen(text) - strlen(replace(text, '{needle}', ''))) // {len(needle)}) AS BIGINT) AS total, '{needle}' AS note FROM documents HAVING SUM((strlen(text) - strlen(replace(text, '{needle}', ''))) // {len(needle)}) > 0"
+        for kind, needle in _NEEDLES.items()
+    ),
+)
+def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return risk_rollup(docs, {k: overlapping_count("text", n) for k, n in _NEEDLES.items()}, _NEEDLES)
+
+
+# --- rankings, byte statistics and samples ----------------------------------------------------
+
+
+@query("top_k", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_by(read_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", ["doc_id"])
+
+
+@query(
+    "top_k_nonzero",
+    """
+SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE l_discount > 0 ORDER BY l_discount DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 20
+""",
+)
+def top_k_nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_partkey", "l_suppkey")
+    return top_by(rows, "l_discount", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], nonzero=True).select("l_orderkey", "l_linenumber", "l_discount")
+
+
+@query(
+    "ranked_metrics",
+    """
+WITH m AS (
+  SELECT doc_id, 'bytes' AS metric, CAST(strlen(text) AS DOUBLE) AS value FROM documents
+  UNION ALL SELECT doc_id, 'lines', CAST(strlen(text) - strlen(replace(text, chr(10), '')) AS DOUBLE) FROM documents
+  UNION ALL SELECT doc_id, 'wide', CAST(strlen(text) - length(text) AS DOUBLE) FROM documents)
+SELECT metric, CAST(rank AS INTEGER) AS rank, doc_id, value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, doc_id) AS rank FROM m WHERE value > 0) WHERE rank <= 20
+""",
+)
+def ranked_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    size, chars = F.octet_length("text"), F.length("text")
+    rows = docs.select("doc_id", size.alias("bytes"), (size - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))).alias("lines"), (size - chars).alias("wide"))
+    return rankings(rows, ["bytes", "lines", "wide"], ["doc_id"])
+
+
+_BYTES = """
+WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL AND text <> ''),
+b AS (SELECT doc_id, substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS b FROM (SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM h)),
+c AS (SELECT doc_id, b, COUNT(*) AS n FROM b GROUP BY 1, 2),
+t AS (SELECT doc_id, SUM(n) AS total FROM c GROUP BY 1),
+s AS (SELECT c.doc_id, CAST(MAX(total) AS BIGINT) AS bytes, -SUM(n / total * log2(n / total)) AS entropy, CAST(COUNT(*) AS INTEGER) AS unique_values,
+  CAST(SUM(CASE WHEN b = '00' THEN n ELSE 0 END) AS BIGINT) AS zero_bytes,
+  CAST(SUM(CASE WHEN (b >= '20' AND b <= '7E') OR b IN ('09', '0A', '0D') THEN n ELSE 0 END) AS BIGINT) AS ascii_like FROM c JOIN t USING (doc_id) GROUP BY 1)
+"""
+
+
+@query("byte_stats", _BYTES + "SELECT doc_id, bytes, round(entropy, 6) AS entropy, unique_values, zero_bytes, ascii_like FROM s")
+def byte_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''")
+    return byte_statistics(docs, "doc_id", "text").withColumnRenamed("id", "doc_id").withColumn("entropy", F.round("entropy", 6))
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''")
+    stats = byte_statistics(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
+    shape = shape_key(F.lit("text"), F.col("bytes"), F.col("bytes"), F.round("entropy", 6), F.col("zero_bytes"), F.col("ascii_like"))
+    return stats.select("doc_id", "bytes", shape.alias("shape")).select("doc_id", "bytes", "shape.size_log2", "shape.entropy_half_bits", "shape.ascii_decile")
+
+
+_SHAPES = _BYTES + """, shapes AS (
+  SELECT doc_id, bytes, CAST(length(bin(bytes)) - 1 AS INTEGER) AS size_log2, CAST(least(16, greatest(0, round(round(entropy, 6) * 2))) AS INTEGER) AS entropy_half_bits, CAST(least(10, ascii_like * 10 // bytes) AS INTEGER) AS ascii_decile FROM s)
+"""
+
+
+@query("shape_key", _SHAPES + "SELECT size_log2, entropy_half_bits, ascii_decile, COUNT(*) AS documents, CAST(SUM(bytes) AS BIGINT) AS bytes FROM shapes GROUP BY 1, 2, 3")
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shapes(spark, sf_dir).groupBy("size_log2", "entropy_half_bits", "ascii_decile").agg(F.count("*").alias("documents"), F.sum("bytes").alias("bytes"))
+
+
+@query(
+    "stratified_sample",
+    """
+WITH d AS (SELECT source, sha256(text) AS digest, CAST(length(bin(strlen(text))) - 1 AS INTEGER) AS size_log2, doc_id FROM documents),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, size_log2 ORDER BY digest, doc_id) AS k FROM d) WHERE k = 1)
+SELECT source, size_log2, digest, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY digest, doc_id) AS j FROM a) WHERE j <= 4
+""",
+)
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("digest"), log2_bucket(F.octet_length("text")).alias("size_log2"), "doc_id")
+    keyed = docs.withColumn("by", F.struct("digest", "doc_id"))
+    return digest_sample(keyed, "source", ["size_log2"], "by", 4).select("source", "size_log2", "digest", "doc_id")
+
+
+@query(
+    "global_shape_cap",
+    """
+WITH d AS (SELECT doc_id, lang, CAST(length(bin(strlen(text))) - 1 AS INTEGER) AS size_log2 FROM documents)
+SELECT doc_id, lang, size_log2 FROM (SELECT *, row_number() OVER (PARTITION BY lang, size_log2 ORDER BY doc_id) AS k FROM d) WHERE k <= 8
+""",
+)
+def global_shape_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", log2_bucket(F.octet_length("text")).alias("size_log2"))
+    return shape_cap(docs, ["lang", "size_log2"], ["doc_id"])
+
+
+@query("budgeted_sample")
+def budgeted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The capped sample within a byte budget, rows too large for what is left being skipped."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", log2_bucket(F.octet_length("text")).alias("size_log2"), F.octet_length("text").cast("long").alias("size"))
+    return budget_fold(shape_cap(docs, ["lang", "size_log2"], ["doc_id"]), ["doc_id"], "size", 64, 200_000, 20_000)
+
+
+@query(
+    "source_name_join",
+    "SELECT d.doc_id, COALESCE('label-' || CAST(l.quality AS VARCHAR), 'doc-' || CAST(d.doc_id AS VARCHAR)) AS name FROM documents d LEFT JOIN labels l USING (doc_id)",
+)
+def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id"), read_table(spark, sf_dir, "labels")
+    named = docs.join(labels, "doc_id", "left")
+    return named.select("doc_id", F.coalesce(F.concat(F.lit("label-"), F.col("quality").cast("string")), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("name"))
