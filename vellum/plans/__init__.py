@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("corpus",)
+MODULES = ("corpus", "policy", "ordered", "spatial")
 
 
 def load() -> None:
