@@ -25,6 +25,8 @@ from vellum.session import checkpoint
 
 CAPACITY = 2048
 GROUP_PIECES = 40_000
+#: Steps of the search for each underfull bin, and pieces in a bin up to which pairs of them are tried.
+STEPS, PAIRED = 24, 24
 
 
 def _low(mask: int) -> int:
@@ -45,7 +47,7 @@ class _Bins:
         if not f or not sizes:
             return
         found = [(1, self.at[f], set(sizes))]
-        if 2 < len(sizes) <= 24:
+        if 2 < len(sizes) <= PAIRED:
             found.append((2, self.two[f], {x + y for i, x in enumerate(sizes) for y in sizes[i + 1 :]}))
         for k, index, lengths in found:
             for y in lengths:
@@ -122,32 +124,40 @@ def _search(state: _Bins) -> None:
     queue = sorted((b for b in range(used) if state.free[b]), key=lambda b: (-state.free[b], b))
     for b in queue:
         state._enter(b, True)
-    steps = 8 * len(queue)
+    steps = STEPS * len(queue)
     for b in queue:
         if used <= least or steps <= 0:
             return
-        state._enter(b, False)  # this bin gives; it takes back only smaller pieces
+        state._enter(b, False)  # while this bin gives it takes back only smaller pieces
         moved = True
         while moved and state.items[b] and steps > 0:
             moved = False
-            for x in sorted(state.items[b], reverse=True):
+            own = sorted(state.items[b], reverse=True)
+            offers = [[x] for x in own]
+            if 2 <= len(own) <= PAIRED:
+                offers += sorted(([x, y] for i, x in enumerate(own) for y in own[i + 1 :]), key=lambda o: -o[0][0] - o[1][0])
+            for offer in offers:
                 steps -= 1
-                room = [f for (k, f), mask in state.mask.items() if k == 1 and mask and f >= x[0]]
+                size = sum(n for n, _ in offer)
+                room = [f for (k, f), mask in state.mask.items() if k == 1 and mask and f >= size]
                 if room:
                     f = min(room)
                     to = min(t for bins in state.at[f].values() for t in bins)
-                    state.change(b, [x], [], indexed=False)
-                    state.change(to, [], [x])
+                    state.change(b, offer, [], indexed=False)
+                    state.change(to, [], offer)
                     moved = True
                     break
-                best = state.exchange(x[0])
-                if best and capacity - state.free[best[1]] + best[0] > capacity - state.free[b]:
-                    _, to, k = best
-                    state.change(to, out := _pick(state.items[to], x[0] - best[0], k), [x])
-                    state.change(b, [x], out, indexed=False)
+                best = state.exchange(size) if size <= capacity else None
+                if best and capacity - state.free[best[1]] + best[0] > capacity - state.free[b] and not (best[2] == 2 and len(offer) == 2):
+                    gain, to, k = best
+                    out = _pick(state.items[to], size - gain, k)
+                    state.change(to, out, offer)
+                    state.change(b, offer, out, indexed=False)
                     moved = True
                     break
-        if not state.items[b]:
+        if state.items[b]:
+            state._enter(b, True)  # what it has left over may yet take another bin's pieces
+        else:
             used -= 1
 
 
