@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from vellum.llm.text import WORD
 from vellum.session import checkpoint
 
-#: Labelled rows that the fit takes at most, those of the least hashes.
+#: Labelled rows that the fit takes, about: those whose hash lies below the share that this makes.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, BINS, SEED = 40, 3, 24, 3
+PENALTIES = (0.06, 0.03, 0.015, 0.008, 0.004, 0.002)
 
 
 def text_statistics(text: Column) -> dict[str, Column]:
@@ -151,14 +152,15 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: Sequence[str], trees: int = T
     _, first = np.unique(z, axis=1, return_index=True)  # rules that hold on the same rows are one
     rules, z = [rules[i] for i in sorted(first)], z[:, sorted(first)]
     held = rng.random(len(y)) < 0.2
-    best = None
-    for penalty in (0.03, 0.01, 0.004, 0.0015):
+    tried = []
+    for penalty in PENALTIES:
         b, w = lasso_logistic(z[~held], y[~held], penalty)
         s = np.clip(z[held] @ w + b, -30, 30)
-        loss = float(np.mean(np.logaddexp(0, s) - y[held] * s)) + 1e-5 * np.count_nonzero(w)
-        if best is None or loss < best[0]:
-            best = (loss, penalty)
-    b, w = lasso_logistic(z, y, best[1])
+        loss = np.logaddexp(0, s) - y[held] * s
+        tried.append((float(loss.mean()), float(loss.std() / np.sqrt(max(1, len(loss)))), penalty))
+    # the sparsest model whose loss lies within a standard error of the least
+    least, error, _ = min(tried)
+    b, w = lasso_logistic(z, y, max(p for loss, _, p in tried if loss <= least + error))
     return RuleModel(b, [(r, float(v)) for r, v in zip(rules, w) if abs(v) > 1e-6])
 
 
@@ -175,8 +177,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in stats.items())))
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("low"), F.max(label_col).alias("y")).where("low = y")
-    fit = rows.where(~fold).join(known, "doc_id").select("doc_id", "y", *names)
-    sample = fit.orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(sample_rows).toPandas()
+    # a hash of the id says which rows the sample has, so no sort and no more than the sample moves
+    share = min(1.0, sample_rows / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = rows.where(~fold).join(known, "doc_id").select("doc_id", "y", *names).toPandas().sort_values(["doc_id", *names])
     model = fit_rules(sample[names].to_numpy(np.float64), sample["y"].to_numpy(np.float64), names)
     score = model.column()
     out = rows.select("doc_id", fold.alias("held_out"), score.alias("score"))
