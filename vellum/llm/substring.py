@@ -35,7 +35,7 @@ from pyspark.sql.types import StructType
 from vellum.llm.text import Sequences, text_bytes, word_hashes, words
 
 WINDOW, PREFIX = 20, 8
-UNIT_BYTES = 4 << 20
+UNIT_BYTES = 2 << 20
 CROWDED = 4096
 _LEAST = np.iinfo(np.int64).min
 

@@ -17,6 +17,8 @@ _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _SEQ = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+#: Bytes that are hashed at a time.
+CHUNK = 1 << 16
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -63,20 +65,37 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return start, end, np.searchsorted(start, at, "left")
 
 
+def _range_names(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray, base: int) -> np.ndarray:
+    """Polynomials over byte ranges in ascending order, chunk by chunk so that little memory is touched."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + CHUNK, "right")))
+        low, high = int(start[i]), int(end[j - 1])
+        up, down = _power(base, high - low) if high - low <= 2 * CHUNK else _long_power(base, high - low)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(table[raw[low:high]] * up[:-1], out=total[1:])
+        s = start[i:j] - low
+        out[i:j] = (total[end[i:j] - low] - total[s]) * down[s]
+        i = j
+    return out
+
+
+def _long_power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _power, for a single long range; not kept."""
+    up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 2**64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit name of every word's bytes."""
-    up, down = _power(_BASE, len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return mix(_range_names(raw, start, end, _BYTE, _BASE) + (end - start).astype(np.uint64))
 
 
 def piece_names(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit names of byte ranges."""
-    other = _power(_SEQ, len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE2[raw] * other[0][:-1], out=total[1:])
-    return word_hashes(raw, start, end), (total[end] - total[start]) * other[1][start]
+    return word_hashes(raw, start, end), _range_names(raw, start, end, _BYTE2, _SEQ)
 
 
 class Sequences:
