@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from vellum.session import checkpoint
 
 
+EDGES_PER_FILE = 200_000
+
+
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (node, root) with root the least node of each component of the given edges."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -41,8 +44,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = np.concatenate([a, batch.column(0).to_numpy(zero_copy_only=False)])
         b = np.concatenate([b, batch.column(1).to_numpy(zero_copy_only=False)])
         if len(a) > 500_000:
-            a, b = local_forest(a, b)
-    a, b = local_forest(a, b)
+            lone = np.unique(a[a == b])
+            a, b = (np.concatenate([x, lone]) for x in local_forest(a, b))
+    lone = np.unique(a[a == b])
+    a, b = (np.concatenate([x, lone]) for x in local_forest(a, b))
     for i in range(0, len(a), 20_000):
         yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 20_000]), pa.array(b[i : i + 20_000])], ["a", "b"])
 
@@ -55,10 +60,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     a null end are ignored, self loops only name their node. Every round is checkpointed.
     """
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna()
-    nodes = None
-    stars = checkpoint(pairs.where("a <> b").mapInArrow(_forest, "a long, b long"))
-    seen = None
-    for _ in range(rounds):
+    # self loops only name their node; both kinds of rows come from one run over the edges
+    kept = checkpoint(pairs.mapInArrow(_forest, "a long, b long"))
+    stars = kept.where("a <> b")
+    now = seen = stars.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+    for _ in range(rounds if now[0] else 0):
         both = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -66,7 +72,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         # after the large star all edges point from a node to a smaller one
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        stars = checkpoint(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
+        stars = small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
+        # as many files as the edges left ask for: late rounds have few
+        stars = checkpoint(stars.coalesce(1 + now[0] // EDGES_PER_FILE))
         now = stars.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == seen:
             break
@@ -74,7 +82,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     # at the end every node has one edge, to its root
     found = stars.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     roots = found.select(F.col("component").alias("node"), "component").distinct()
-    nodes = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
+    nodes = kept.where("a = b").select(F.col("a").alias("node")).distinct()
     lone = nodes.join(found.union(roots).select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
     return found.union(roots).union(lone)
 
