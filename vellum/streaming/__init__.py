@@ -1 +1 @@
-
+"""Incremental ingest of documents."""
