@@ -52,15 +52,18 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 20_000]), pa.array(b[i : i + 20_000])], ["a", "b"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, about: int | None = None) -> DataFrame:
     """(node, component) for every node of an edge, component being its least reachable node.
 
     Each partition first contracts its own edges to a forest; then large-star and small-star
     steps alternate, each a grouped minimum and a join, until the edges stand still. Edges with
-    a null end are ignored, self loops only name their node. Every round is checkpointed.
+    a null end are ignored, self loops only name their node. Every round is checkpointed. `about` may say
+    how many nodes there are at most, so that few don't go to many files.
     """
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna()
     # self loops only name their node; both kinds of rows come from one run over the edges
+    if about is not None:  # a shuffle, as the edges' own making may need all its tasks
+        pairs = pairs.repartition(1 + about // EDGES_PER_FILE)
     kept = checkpoint(pairs.mapInArrow(_forest, "a long, b long"))
     stars = kept.where("a <> b")
     now = seen = stars.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
@@ -84,7 +87,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     roots = found.select(F.col("component").alias("node"), "component").distinct()
     nodes = kept.where("a = b").select(F.col("a").alias("node")).distinct()
     lone = nodes.join(found.union(roots).select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
-    return found.union(roots).union(lone)
+    every = found.union(roots).union(lone)
+    return every.coalesce(1 + now[0] // EDGES_PER_FILE)
 
 
 def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", rounds: int = 200) -> DataFrame:

@@ -54,3 +54,26 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint in the shared folder: cuts the lineage and survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+#: Rows that go to a Python worker at once where they hold whole texts.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Lowers the session's Arrow batches to `rows` rows, unless they are smaller already.
+
+    A batch of texts stands in memory twice, in the executor and in its Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+#: Rows of a few numbers that one file of a table holds at least, and bytes of text.
+ROWS_PER_FILE, BYTES_PER_FILE = 100_000, 8 << 20
+
+
+def in_files(df: DataFrame, rows: int, each: int = ROWS_PER_FILE) -> DataFrame:
+    """`df`, known to have about `rows` rows, in no more partitions than these fill: no small files."""
+    return df.coalesce(max(1, -(-int(rows) // each)))
