@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.text import text_bytes
 from vellum.llm.text import pieces as cut
-from vellum.session import checkpoint
+from vellum.session import checkpoint, in_files, small_batches
 
 BUCKETS, BITS = 4096, 12
 #: Pseudo-counts: of a trigram bucket, of a declared code or suffix, of a level of hosts on the next.
@@ -119,6 +119,7 @@ def identify(rows: DataFrame, id_col: str, text: Column, declared: Column, host:
     in any evidence say nothing. Rows that repeat an id are judged one by one. Without any declared
     language nothing can be learnt and all rows are unknown.
     """
+    small_batches(rows.sparkSession)
     code = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
     site = F.lower(F.coalesce(host, F.lit(None).cast("string")) if host is not None else F.lit(None).cast("string"))
     base = rows.select(F.col(id_col).alias("id"), F.nullif(code, F.lit("")).alias("declared"), site.alias("host"), text.alias("text"))
@@ -186,7 +187,8 @@ def _fuse(scored: DataFrame, languages: Sequence[str], min_posterior: float) ->
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", broadcast_rows: int = 20_000) -> DataFrame:
     """`docs` without the documents that no language can be named for; a null id stays."""
     found = identify(docs, id_col, F.col(text_col), F.col(declared_col), F.col(host_col))
-    gone = checkpoint(found.where("NOT accepted AND id IS NOT NULL").select(F.col("id").alias("_gone")).distinct())
+    gone = found.where("NOT accepted AND id IS NOT NULL").select(F.col("id").alias("_gone")).distinct()
+    gone = checkpoint(in_files(gone, docs.count()))
     if gone.limit(broadcast_rows + 1).count() <= broadcast_rows:
         gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.text import WORD, text_bytes, words
-from vellum.session import checkpoint
+from vellum.llm.text import WORD, release_memory, text_bytes, words
+from vellum.session import BYTES_PER_FILE, checkpoint, in_files, small_batches
 
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
@@ -121,7 +121,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sized = checkpoint(docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), size.alias("size")))
     sources = sized.groupBy("key").agg(F.sum("size").alias("source_size"))
     plan = "key string, source_size long, target double, quota long, shards long"
-    sources = checkpoint(sources.groupBy(F.lit(0).alias("_all")).applyInPandas(_apportion_sources(block_words, shard_words, weights), plan))
+    sources = sources.groupBy(F.lit(0).alias("_all")).applyInPandas(_apportion_sources(block_words, shard_words, weights), plan)
+    sources = checkpoint(sources.coalesce(1))  # one group, one file
     dealt = sized.join(sources, "key").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "shards"))
     dealt = dealt.repartition("key", "shard")  # else all that follows would stay dealt by source alone
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
@@ -136,7 +137,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         return times * words_in
 
     taken = F.when(F.col("size") > 0, F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + of_block(b))).otherwise(F.lit(0).cast("long"))
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "start", "blocks", "passes", "rest", "step", "shift")
+    return in_files(placed, sized.count()).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "start", "blocks", "passes", "rest", "step", "shift")
 
 
 def _rewrite(text_at: int, length_at: int | None, block: int):
@@ -164,6 +165,7 @@ def _rewrite(text_at: int, length_at: int | None, block: int):
             if length_at is not None:
                 columns[length_at] = pa.array([len(t) for t in texts], columns[length_at].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-6])
+        release_memory()
 
     return run
 
@@ -171,8 +173,10 @@ def _rewrite(text_at: int, length_at: int | None, block: int):
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """`docs` as the mix takes them: texts are the taken blocks, a second and third pass following
     the first after an empty line; documents of which nothing is taken are left out."""
+    small_batches(docs.sparkSession)
     plan = mix_plan(docs, id_col, text_col, **options).where("taken > 0").dropDuplicates(["doc_id"])
     plan = plan.select(F.col("doc_id").alias("_mix_id"), *(F.col(c).alias(f"_mix_{c}") for c in ("start", "blocks", "passes", "rest", "step", "shift")))
     joined = docs.join(plan, docs[id_col].eqNullSafe(plan["_mix_id"])).drop("_mix_id")
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
-    return joined.mapInArrow(_rewrite(docs.columns.index(text_col), length_at, options.get("block_words", BLOCK_WORDS)), docs.schema)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    return in_files(joined, size, BYTES_PER_FILE).mapInArrow(_rewrite(docs.columns.index(text_col), length_at, options.get("block_words", BLOCK_WORDS)), docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.text import pieces as cut
 from vellum.llm.text import text_bytes
-from vellum.session import checkpoint
+from vellum.session import checkpoint, small_batches
 
 CAPACITY = 2048
 GROUP_PIECES = 40_000
@@ -210,8 +210,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     Null and empty texts are one piece of the end id; rows that repeat an id are packed each for
     itself; null ids are kept; an empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = checkpoint(rows.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     groups = max(1, -(-found.count() // group_pieces))
     dealt = found.withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(_pack_group(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = dealt.groupBy("group").applyInPandas(_pack_group(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return packed.coalesce(groups)

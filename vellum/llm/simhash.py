@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.text import pieces, text_bytes
 from vellum.operators.graph import connected_components, local_forest
-from vellum.session import checkpoint
+from vellum.session import BYTES_PER_FILE, checkpoint, in_files, small_batches
 
 SEED = 42
 
@@ -130,14 +130,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stay apart as rows and count as one node; a null id takes part under its fingerprint and
     gets the least id of its component, null if that has none. Extra columns are not read.
     """
+    small_batches(docs.sparkSession)
     prints = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long"))
+    rows = prints.count()
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     # a fingerprint that only null ids have is named by a number no id can share
-    reps = checkpoint(reps.withColumn("rep", F.coalesce("rep", F.lit(2**62) + F.shiftrightunsigned("fp", 3))))
-    comps = connected_components(ball_links(reps, radius))
+    reps = checkpoint(in_files(reps.withColumn("rep", F.coalesce("rep", F.lit(2**62) + F.shiftrightunsigned("fp", 3))), rows))
+    comps = connected_components(ball_links(reps, radius), about=rows)
     known = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     known = known.withColumn("component_id", F.when(F.col("component") < 2**62, F.col("component")))
-    return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return in_files(prints.join(known, "fp"), rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,4 +150,5 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = simhash_groups(docs, id_col, text_col)
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep_id"))
     kept = docs.join(keep, docs[id_col] == keep["_keep_id"], "left_semi")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    return in_files(kept, size, BYTES_PER_FILE).unionByName(in_files(docs.where(F.col(id_col).isNull()), size, BYTES_PER_FILE))

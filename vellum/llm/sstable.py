@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.text import pieces as cut
 from vellum.llm.text import text_bytes
-from vellum.session import shared_dir
+from vellum.session import shared_dir, small_batches
 
 MAGIC = b"VSST0001"
 BLOCK_BYTES = 64 << 10
@@ -224,6 +224,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
     order of their texts. Shards are ranges of ids; the manifest has one row for each.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or f"{shared_dir(spark).rstrip('/')}/sst-{uuid.uuid4().hex}"
     if "://" not in folder:
         folder = "file://" + folder

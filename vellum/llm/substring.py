@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from vellum.llm.text import Sequences, text_bytes, word_hashes, words
+from vellum.llm.text import Sequences, release_memory, text_bytes, word_hashes, words
+from vellum.session import BYTES_PER_FILE, in_files, small_batches
 
 WINDOW, PREFIX = 20, 8
 UNIT_BYTES = 2 << 20
@@ -190,6 +191,7 @@ def _trees(window: int, prefix: int, table: pa.Table) -> pa.Table:
     later = order[1:][node[order][1:] == node[order][:-1]]
     by_unit, edge = _by_bucket(unit[owner[later]])
     later = later[by_unit]
+    release_memory()
     out = {"unit": [], "rows": [], "starts": []}
     for a, b in zip(edge[:-1], edge[1:]):
         x = later[a:b]
@@ -230,6 +232,7 @@ def _cut(window: int, prefix: int, rejoin: bool, schema: pa.Schema, docs: pa.Tab
         left = [(0 if i == 0 else cuts[i - 1][1], x) for i, (x, _) in enumerate(cuts)] + [(cuts[-1][1], int(b - a))]
         parts = [b" ".join(whole[unit.start[a + x] : unit.end[a + y - 1]].split()) for x, y in left if y > x]
         kept.append(b" ".join(parts).decode("utf-8", "replace"))
+    release_memory()
     out = {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string()), "spans": pa.array(spans, schema.field("spans").type)}
     return pa.table([out[f.name] if f.name in out else unit.table.column(f.name) for f in schema], schema)
 
@@ -243,6 +246,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined by single spaces (without `rejoin` a text that loses nothing stays as it is), `spans` the maximal stretches of words that went. Null texts have no
     words. The columns of `docs` come back as _c<position>, so that no name can clash.
     """
+    small_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     units = max(1, -(-int(total) // unit_bytes))
     buckets = max(16, units)
@@ -257,7 +261,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = StructType([f for f in base.schema if f.name in kept_columns])
     out = StructType(out.fields + StructType.fromDDL("n_words long, n_removed long, kept string, spans array<struct<begin:int,end:int>>").fields)
     schema = to_arrow_schema(out)
-    return grouped.cogroup(found.groupBy("unit")).applyInArrow(lambda d, f: _cut(window, prefix, rejoin, schema, d, f), out)
+    done = grouped.cogroup(found.groupBy("unit")).applyInArrow(lambda d, f: _cut(window, prefix, rejoin, schema, d, f), out)
+    return in_files(done, total, BYTES_PER_FILE)
 
 
 def substring_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:

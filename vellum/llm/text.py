@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,6 +111,19 @@ class Sequences:
         return mix((self.total[at + length] - self.total[at]) * self.down[at])
 
 
+def release_memory() -> None:
+    """Gives memory that arrays have left back to the system; a reused worker would else keep it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that one holds about `limit` bytes of text, or a single longer text."""
     for batch in batches:
@@ -121,3 +135,4 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20)
             to = max(row + 1, int(np.searchsorted(at, at[row] + limit, "right")) - 1)
             yield batch.slice(row, to - row)
             row = to
+    release_memory()
