@@ -115,7 +115,7 @@ def test_topk_stops_early_and_stays_exact():
         topk.Lists._merge = staticmethod(lambda best, new, k, kth: (scored.append(len(new[0])), merge(best, new, k, kth))[1])
         q, ids, score = lists.search(np.array([1]), np.array([[1, 2, 3, 1, 1, 1, 1, 2]]), 5)
     finally:
-        topk.Lists._merge = merge
+        topk.Lists._merge = staticmethod(merge)
     want = sorted((-int(v @ [1, 2, 3, 1, 1, 1, 1, 2]), i * 2) for i, v in enumerate(x))[:5]
     assert [(-s, i) for s, i in zip(score.tolist(), ids.tolist())] == want and len(scored) == 1  # one round of the lists
     big = topk.Lists(np.arange(3), np.array([[2**40, 1], [2**40, 2], [-(2**40), 5]]))
