@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vellum.session import checkpoint
 
 
-EDGES_PER_FILE = 200_000
+EDGES_PER_FILE, BROADCAST_EDGES = 200_000, 50_000
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +68,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     stars = kept.where("a <> b")
     now = seen = stars.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
     for _ in range(rounds if now[0] else 0):
-        both = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b")
-        # after the large star all edges point from a node to a smaller one
+        # edges point from a node to a smaller one: the large star moves each to what its end points at
+        ends = stars.groupBy(F.col("a").alias("end")).agg(F.min("b").alias("m"))
+        if now[0] <= BROADCAST_EDGES:  # else a join, whose hubs the engine splits
+            ends = F.broadcast(ends)
+        large = stars.join(ends, stars["b"] == ends["end"], "left").select("a", F.coalesce("m", "b").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         stars = small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
