@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("corpus", "policy", "ordered", "spatial")
+MODULES = ("corpus", "policy", "ordered", "spatial", "adapter")
 
 
 def load() -> None:
