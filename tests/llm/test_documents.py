@@ -361,11 +361,21 @@ def test_quality_on_held_out_rows(spark):
     assert again.exceptAll(scored).count() == 0  # held-out labels and other columns change nothing
 
 
+def test_quality_of_few_labels(spark, data):
+    docs, labels = read_table(spark, data, "documents"), read_table(spark, data, "labels")
+    scored = quality.quality_scores(docs, labels)[0].join(labels, "doc_id").where("held_out").collect()
+    good, bad = ([r.score for r in scored if r.quality == q] for q in (1, 0))
+    assert good and (not bad or np.mean(good) > np.mean(bad))
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (2, 0, 0), (3, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality.quality_scores(odd, labels)[0].collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.held_out is not None for r in got)
     assert quality.quality_scores(none, labels)[0].count() == 0
+    x, y = np.array([[0.0], [1.0], [2.0], [3.0]]), np.array([0.0, 0, 1, 1])
+    for rows in (slice(0, 4), slice(1, 3), slice(2, 4), slice(0, 0)):
+        assert np.isfinite(quality.fit_rules(x[rows], y[rows], ["words"]).bias)
     assert quality.quality_scores(odd, labels.where("quality = 7"))[0].count() == odd.count()
 
 

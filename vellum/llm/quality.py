@@ -20,7 +20,7 @@ from vellum.session import checkpoint
 
 #: Labelled rows that the fit takes, about: those whose hash lies below the share that this makes.
 SAMPLE_ROWS = 20_000
-TREES, DEPTH, BINS, SEED = 40, 3, 24, 3
+TREES, DEPTH, BINS, SEED, LEAF_ROWS = 40, 3, 24, 3, 15
 PENALTIES = (0.06, 0.03, 0.015, 0.008, 0.004, 0.002)
 
 
@@ -77,7 +77,8 @@ def _tree(x: np.ndarray, cuts: list[np.ndarray], binned: np.ndarray, gradient: n
     value[rows] = g / (h + 1.0)
     if path:
         out.append(path)
-    if depth == 0 or len(rows) < 40:
+    least = max(2, min(LEAF_ROWS, len(value) // 32))  # of a leaf; few labels ask for small leaves
+    if depth == 0 or len(rows) < 2 * least:
         return
     best = None
     for j, cut in enumerate(cuts):
@@ -86,7 +87,7 @@ def _tree(x: np.ndarray, cuts: list[np.ndarray], binned: np.ndarray, gradient: n
         sums = [np.cumsum(np.bincount(binned[rows, j], w, len(cut) + 1))[:-1] for w in (gradient[rows], hessian[rows], np.ones(len(rows)))]
         gl, hl, nl = sums
         gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1)
-        gain[(nl < 15) | (len(rows) - nl < 15)] = -1
+        gain[(nl < least) | (len(rows) - nl < least)] = -1
         k = int(gain.argmax())
         if gain[k] > g**2 / (h + 1) + 1e-6 and (best is None or gain[k] > best[0]):
             best = (gain[k], j, k)
@@ -148,13 +149,17 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: Sequence[str], trees: int = T
         _tree(x, cuts, binned, y - p, p * (1 - p), rows, depth, (), names, paths, value)
         margin[rows] += 0.3 * value[rows]
     rules = list(dict.fromkeys(_simplify(p) for p in paths))
+    if not rules:
+        return RuleModel(float(np.log(y.mean() / (1 - y.mean()))), [])
     z = np.stack([_holds(r, x, names) for r in rules], axis=1).astype(np.float64)
     _, first = np.unique(z, axis=1, return_index=True)  # rules that hold on the same rows are one
     rules, z = [rules[i] for i in sorted(first)], z[:, sorted(first)]
     held = rng.random(len(y)) < 0.2
+    if held.sum() < 10:  # too few to choose by
+        held[:] = True
     tried = []
     for penalty in PENALTIES:
-        b, w = lasso_logistic(z[~held], y[~held], penalty)
+        b, w = lasso_logistic(z[~held], y[~held], penalty) if not held.all() else lasso_logistic(z, y, penalty)
         s = np.clip(z[held] @ w + b, -30, 30)
         loss = np.logaddexp(0, s) - y[held] * s
         tried.append((float(loss.mean()), float(loss.std() / np.sqrt(max(1, len(loss)))), penalty))
