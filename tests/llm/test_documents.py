@@ -121,6 +121,41 @@ def test_ball_links_all_within_three(spark):
     assert all(got.get(i, i) == want.get(i, i) for i in range(len(prints)))
 
 
+def near_copies():
+    """(id, text) of originals and copies of them with one to ten places changed, and of strangers."""
+    rng, out = np.random.default_rng(8), []
+    passage = [f"common{k}" for k in range(40)]
+    for base in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 4000, int(rng.integers(30, 300)))] + (passage if base % 2 else [])
+        out.append(words)
+        for changes in (1, 2, 3, 5, 10):
+            copy = list(words)
+            for at in rng.choice(len(copy), min(changes, len(copy) // 2), replace=False):
+                copy[at] = f"new{rng.integers(0, 10**9)}"
+            out.append(copy)
+    base = [f"hot{k}" for k in range(120)]
+    for k in range(80):  # a large group, of which some are alike
+        out.append([f"{w}x{k}" if at in set(rng.choice(120, 1 + k % 4).tolist()) else w for at, w in enumerate(base)])
+    out += [["few", "words"], ["few", "Words"], ["five", "words", "and", "no", "more"], []]
+    return [(i + 1, " ".join(w)) for i, w in enumerate(out)]
+
+
+def test_dedup_finds_all_near_copies(spark):
+    docs = near_copies()
+    sets = {}
+    for i, text in docs:
+        words = text.lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    ids = list(sets)
+    near = {(a, b) for a in ids for b in ids if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(near) > 100
+    prints = {i: simhash.fingerprint(t.encode()) for i, t in docs}
+    assert sum((prints[a] ^ prints[b]).bit_count() <= 3 for a, b in near) < len(near) / 2  # three bits would miss most
+    root = components(ids, lambda a, b: (min(a, b), max(a, b)) in near)
+    got = {r.doc_id for r in simhash.simhash_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i for i in ids if root[i] == i}
+
+
 # --- substring dedup ---------------------------------------------------------------------------
 
 

@@ -145,10 +145,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each near-duplicate group: that with the least id.
 
+    Groups are chains of texts whose sets of five-word shingles are 0.8 alike or more
+    (`near.jaccard_components`); 64 bits are too few to find these, so op6's groups aren't used.
     Rows with a null id can't be named in a group and stay; rows that repeat an id are one document.
     """
-    groups = simhash_groups(docs, id_col, text_col)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep_id"))
+    from vellum.llm.near import jaccard_components
+
+    groups = checkpoint(jaccard_components(docs, id_col, text_col))
+    keep = groups.groupBy("component").agg(F.min("doc_id").alias("_keep_id")).where("_keep_id IS NOT NULL").select("_keep_id")
     kept = docs.join(keep, docs[id_col] == keep["_keep_id"], "left_semi")
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     return in_files(kept, size, BYTES_PER_FILE).unionByName(in_files(docs.where(F.col(id_col).isNull()), size, BYTES_PER_FILE))
