@@ -305,3 +305,31 @@ def test_fonts():
     other = fonts.build(found | {"glyf": b"else", "loca": b"else"})
     assert fonts.skeleton_hash(other) == fonts.skeleton_hash(data) and fonts.tables(b"no") is None
     assert fonts.dense_numbers([9, 3]) == {0: 0, 3: 1, 9: 2}
+
+
+def test_proximity_of_all_documents(spark, tmp_path):
+    """The whole query against brute force over every box, beyond id 600 too."""
+    import math
+    from collections import defaultdict
+
+    from vellum.plans import load
+    from vellum.plans.registry import QUERIES
+
+    load()
+    spark.range(1000).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    boxes = {d: (d * 37 % 500, d * 91 % 700) for d in range(1000) if d % 3}
+    pages = defaultdict(list)
+    for d in boxes:
+        pages[d // 100].append(d)
+    root = {d: d for d in boxes}
+    for page in pages.values():
+        changed = True
+        while changed:
+            changed = False
+            for a in page:
+                for b in page:
+                    (ax, ay), (bx, by) = boxes[a], boxes[b]
+                    if root[b] < root[a] and math.hypot(max(0, abs(ax - bx) - 20), max(0, abs(ay - by) - 10)) <= 14:
+                        root[a], changed = root[b], True
+    got = {r["id"]: r["component"] for r in QUERIES["proximity_components_whole"](spark, str(tmp_path)).collect()}
+    assert got == root

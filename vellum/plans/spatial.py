@@ -86,6 +86,12 @@ def near_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proximity_components(_boxes(spark, sf_dir, False).where("id < 600"), ["page"], "id", 14.0, 60.0)
 
 
+@query("proximity_components_whole")
+def near_boxes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As proximity_components, over the boxes of all documents; its recursive SQL is too slow for these."""
+    return proximity_components(_boxes(spark, sf_dir, False), ["page"], "id", 14.0, 60.0)
+
+
 _EDGES = """
 e AS (SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS src, 'n' || CAST(n_nationkey AS VARCHAR) AS dst FROM nation
   UNION ALL SELECT 'n' || CAST(c_nationkey AS VARCHAR), 'c' || CAST(c_custkey AS VARCHAR) FROM customer
