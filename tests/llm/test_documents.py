@@ -365,6 +365,24 @@ def test_language_fuses_evidence(spark):
     assert language.identify(df.where("id_ < 0"), "id_", F.col("text"), F.col("lang")).count() == 0
 
 
+def test_rare_languages_stay_in_a_large_corpus(spark):
+    rng = np.random.default_rng(3)
+    common = [f"the{k} and house of water".replace(str(k), "") for k in range(3)] + ["there was with that other thing which"]
+    rare = ["qazxu vyjq kxoqy", "zuxqa jyqvu oxkqz", "xyqzu kvajq uqoxz"]
+    few = ["אבג דהו זחט", "יכל מנס עפצ"]
+    text = lambda of: " ".join(of[x] for x in rng.integers(0, len(of), 12))
+    rows = [(i, text(common), "en") for i in range(15_000)]
+    rows += [(20_000 + i, text(rare), "qx") for i in range(12)] + [(30_000 + i, text(few), "he") for i in range(3)]
+    rows += [(40_000, "12 34 56", "he"), (40_001, text(few), "nocode")]
+    docs = spark.createDataFrame([(i, t, c, "a") for i, t, c in rows], "doc_id long, text string, lang string, source string")
+    found = {r.id: r for r in language.identify(docs, "doc_id", F.col("text"), F.col("lang"), F.col("source")).where("id >= 20000").collect()}
+    assert all(found[20_000 + i].language == "qx" and found[20_000 + i].accepted for i in range(12))  # 0.08 % of the rows
+    assert all(found[30_000 + i].language == "he" and found[30_000 + i].accepted for i in range(3))
+    assert not found[40_000].accepted and not found[40_001].accepted
+    kept = {r.doc_id for r in language.keep_identified(docs).collect()}
+    assert {i for i, _, c in rows if c in ("qx", "he") and i < 40_000} <= kept
+
+
 def test_host_priors_are_smoothed_by_level(spark):
     text = [0.0, 0.0, -50.0]
     rows = [(i, None, "a.site.de", [5.0, 0.0, -50.0], True) for i in range(200)] + [(900, None, "new.site.de", text, True), (901, None, "x.other.fr", text, True)]

@@ -27,7 +27,8 @@ TRIGRAM_PRIOR, EVIDENCE_PRIOR, HOST_PRIOR = 0.5, 1.0, 20.0
 #: The weight of n trigrams, which are far from independent: TEMPER * sqrt(n).
 TEMPER = 2.0
 MIN_POSTERIOR = 0.5
-LEAST_SHARE = 0.001
+#: Declaring rows that make a code a language: so many at most, and in a small corpus this share of all.
+LEAST_DOCS, LEAST_SHARE = 10, 0.001
 UNKNOWN = "und"
 _rng = np.random.default_rng(77)
 _TABLES = _rng.integers(0, 2**32, (3, 256), dtype=np.uint64).astype(np.uint32)
@@ -114,9 +115,11 @@ def identify(rows: DataFrame, id_col: str, text: Column, declared: Column, host:
     """(id, declared, text_language, language, posterior, accepted) for every row.
 
     `languages` are the codes told apart; left open they are the declared codes of two or three
-    letters that at least LEAST_SHARE of the rows declare. A row is rejected if the background fits
-    it best, if no language's posterior reaches `min_posterior`, or if its text has no letter; nulls
-    in any evidence say nothing. Rows that repeat an id are judged one by one. Without any declared
+    letters that at least LEAST_DOCS rows declare, or LEAST_SHARE of the declaring rows where that is
+    fewer. A row is rejected if the background fits it best, if no language's posterior reaches
+    `min_posterior`, or if its text has no letter; but a text with letters whose code of two or three
+    letters is none of those told apart is then taken at its word, with that code and posterior zero,
+    as nothing was learnt of it. Nulls in any evidence say nothing. Rows that repeat an id are judged one by one. Without any declared
     language nothing can be learnt and all rows are unknown.
     """
     small_batches(rows.sparkSession)
@@ -126,7 +129,7 @@ def identify(rows: DataFrame, id_col: str, text: Column, declared: Column, host:
     if languages is None:
         known = base.groupBy("declared").count().where("declared IS NOT NULL")
         total = known.agg(F.sum("count")).first()[0] or 0
-        languages = sorted(r[0] for r in known.where(F.col("count") >= LEAST_SHARE * total).collect())  # at most 1 / LEAST_SHARE
+        languages = sorted(r[0] for r in known.where(F.col("count") >= min(LEAST_DOCS, LEAST_SHARE * total)).collect())  # codes of three letters at most
     languages = [c for c in languages if re.fullmatch("[a-z]{2,3}", c)]
     if not languages:
         none = F.lit(None).cast("string")
@@ -156,23 +159,20 @@ def _fuse(scored: DataFrame, languages: Sequence[str], min_posterior: float) ->
     said = {r["declared"]: [r[f"d{k}"] for k in range(size)] for r in sure.where(F.col("declared").isin(*languages)).groupBy("declared").agg(*of("d")).collect()}  # a known code each
     out = scored
     for key, c in (("suffix", "s"), ("domain", "m"), ("host", "h")):
-        out = out.join(sure.where(F.col(key).isNotNull()).groupBy(key).agg(*of(c)), key, "left")
+        out = out.join(sure.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(f"{c}n"), *of(c)), key, "left")
 
     def level(c: str, above: list[Column]) -> list[Column]:
         """Shares at a level of hosts, each smoothed by the level above."""
-        total = sum((F.coalesce(F.col(f"{c}{k}"), F.lit(0)) for k in range(size)), F.lit(0))
+        total = F.coalesce(F.col(f"{c}n"), F.lit(0))
         return [(F.coalesce(F.col(f"{c}{k}"), F.lit(0)) + HOST_PRIOR * above[k]) / (total + HOST_PRIOR) for k in range(size)]
 
     # the suffix speaks as evidence, so the hosts' priors start from it: P(lang) P(suffix | lang) ~ P(lang | suffix)
     host = level("h", level("m", level("s", [F.lit(p) for p in prior])))
-    terms = []
-    for k in range(size):
-        codes = sum(v[k] for v in said.values()) + EVIDENCE_PRIOR * size
-        shares = {d: float(np.log((v[k] + EVIDENCE_PRIOR) / codes)) for d, v in said.items()}
-        declared = F.lit(0.0)
-        for d, v in shares.items():
-            declared = F.when(F.col("declared") == d, v).otherwise(declared)
-        terms.append(F.col("text")[k] + declared + F.log(host[k]))
+    codes = [sum(v[k] for v in said.values()) + EVIDENCE_PRIOR * size for k in range(size)]
+    shares = [(d, [float(np.log((v[k] + EVIDENCE_PRIOR) / codes[k])) for k in range(size)]) for d, v in said.items()]
+    # one row a language
+    out = out.join(F.broadcast(scored.sparkSession.createDataFrame(shares, "declared string, said array<double>")), "declared", "left")
+    terms = [F.col("text")[k] + F.coalesce(F.col("said")[k], F.lit(0.0)) + F.log(host[k]) for k in range(size)]
     # the background declares nothing and lives nowhere: an even share of every evidence
     flat = F.col("text")[size] + F.when(F.col("declared").isin(*said), float(-np.log(max(1, size)))).otherwise(0.0) + float(np.log(UNKNOWN_PRIOR))
     out = out.withColumn("terms", F.array(*terms, flat)).withColumn("top", F.array_max("terms"))
@@ -181,7 +181,11 @@ def _fuse(scored: DataFrame, languages: Sequence[str], min_posterior: float) ->
     name = F.array(*[F.lit(c) for c in languages], F.lit(UNKNOWN))
     out = out.withColumns({"posterior": 1.0 / mass, "guess": name[at], "text_language": name[F.col("best")]})
     accepted = (F.col("guess") != UNKNOWN) & (F.col("posterior") >= min_posterior) & F.col("letters")
-    return out.select("id", "declared", "text_language", F.when(F.col("letters"), F.col("guess")).otherwise(UNKNOWN).alias("language"), "posterior", accepted.alias("accepted"))
+    # of a code without texts enough nothing is known that could speak against it
+    left_out = F.col("letters") & ~F.col("declared").isin(*languages) & ~accepted
+    left_out = F.coalesce(left_out, F.lit(False))
+    language = F.when(left_out, F.col("declared")).when(F.col("letters"), F.col("guess")).otherwise(UNKNOWN)
+    return out.select("id", "declared", "text_language", language.alias("language"), F.when(left_out, 0.0).otherwise(F.col("posterior")).alias("posterior"), (accepted | left_out).alias("accepted"))
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", broadcast_rows: int = 20_000) -> DataFrame:
