@@ -253,6 +253,22 @@ def test_mix_odd_rows(odd, none):
     assert mixing.mix_plan(none).count() == 0 and mixing.mix_documents(none).count() == 0
 
 
+def test_mix_takes_of_every_row_what_the_plan_does(spark):
+    from collections import Counter
+
+    rows = []
+    for i in range(240):  # ids that two sources share, and none
+        id_ = None if i % 4 == 0 else i // 6
+        rows.append((id_, " ".join(f"r{i}w{k}" for k in range(5 + i * 7 % 90)), "ab"[i % 2] if i % 5 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = dict(block_words=4, shard_words=400)
+    plan = Counter((r.doc_id, r.taken) for r in mixing.mix_plan(docs, **options).collect() if r.taken)
+    got = [(r.doc_id, r.source, r.text) for r in mixing.mix_documents(docs, **options).collect()]
+    assert Counter((d, len(t.split())) for d, _, t in got) == plan
+    again = mixing.mix_documents(docs.repartition(7), **options).collect()
+    assert Counter(got) == Counter((r.doc_id, r.source, r.text) for r in again)
+
+
 def test_mix_near_targets(spark, data):
     rows = mixing.mix_plan(read_table(spark, data, "documents")).groupBy("source_size").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
     assert all(abs(r.taken - r.target) <= max(200, 0.05 * r.target) for r in rows)

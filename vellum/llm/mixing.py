@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.text import WORD, release_memory, text_bytes, words
@@ -107,28 +107,39 @@ def _apportion_shards(block: int, seed: int):
     return run
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """What the mix takes of every row of `docs`.
+_SELECTION = ("start", "blocks", "passes", "rest", "step", "shift")
 
-    Returns doc_id, size, source_size, target and taken, and for the selection itself `start`
-    (the row's place on its shard's line), blocks, passes, rest, step and shift: block b is taken
-    passes + (1 if (step * b + shift) mod blocks < rest else 0) times. Null and empty texts have
-    size zero and take nothing; null is a source of its own, last in order; rows that repeat an
-    id are rows of their own; an empty table gives none.
-    """
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more) -> DataFrame:
+    """Each row's doc_id, source, size and, for a null id, what stands for it in the seeded order."""
     key = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col)))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = checkpoint(docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), size.alias("size")))
+    spread = F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), size.alias("size"), spread.alias("spread"), *more)
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], block_words: int, shard_words: int, seed: int, whole: bool) -> tuple[DataFrame, int]:
+    """The rows of _sized with their place and their shard's quota, and their count.
+
+    With `whole` every row carries all its columns as `row`, so nothing is joined by its id.
+    """
+    sized = checkpoint(_sized(docs, id_col, text_col, source_col))
     sources = sized.groupBy("key").agg(F.sum("size").alias("source_size"))
     plan = "key string, source_size long, target double, quota long, shards long"
     sources = sources.groupBy(F.lit(0).alias("_all")).applyInPandas(_apportion_sources(block_words, shard_words, weights), plan)
-    sources = checkpoint(sources.coalesce(1))  # one group, one file
-    dealt = sized.join(sources, "key").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "shards"))
-    dealt = dealt.repartition("key", "shard")  # else all that follows would stay dealt by source alone
-    shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
+    sources = F.broadcast(checkpoint(sources.coalesce(1)))  # one group, one file; texts aren't dealt by source
+    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "spread"), "shards")
+    shards = sized.join(sources, "key").withColumn("shard", shard).groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
     quotas = shards.groupBy("key").applyInPandas(_apportion_shards(block_words, seed), "key string, shard long, blocks long, passes long, rest long, step long, shift long")
-    line = Window.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0).cast("long"))).join(quotas, ["key", "shard"])
+    rows = _sized(docs, id_col, text_col, source_col, F.struct(*(docs[c] for c in docs.columns)).alias("row")) if whole else sized
+    dealt = rows.join(sources, "key").withColumn("shard", shard).repartition("key", "shard")
+    order = [F.xxhash64(F.lit(seed + 1), "doc_id", "spread"), F.col("doc_id"), F.col("size"), *([F.col("row").getField(text_col)] if whole else [])]
+    line = Window.partitionBy("key", "shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0).cast("long"))).join(quotas, ["key", "shard"]), sized.count()
+
+
+def _taken(block_words: int) -> Column:
+    """The words that the mix takes of a row."""
     first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
 
     def of_block(b):
@@ -136,8 +147,20 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         words_in = F.least((b + 1) * block_words, F.col("start") + F.col("size")) - F.greatest(b * block_words, F.col("start"))
         return times * words_in
 
-    taken = F.when(F.col("size") > 0, F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + of_block(b))).otherwise(F.lit(0).cast("long"))
-    return in_files(placed, sized.count()).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "start", "blocks", "passes", "rest", "step", "shift")
+    return F.when(F.col("size") > 0, F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + of_block(b))).otherwise(F.lit(0).cast("long"))
+
+
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+    """What the mix takes of every row of `docs`.
+
+    Returns doc_id, size, source_size, target and taken, and for the selection itself `start`
+    (the row's place on its shard's line), blocks, passes, rest, step and shift: block b is taken
+    passes + (1 if (step * b + shift) mod blocks < rest else 0) times. Null and empty texts have
+    size zero and take nothing; null is a source of its own, last in order; rows that repeat an
+    id are rows of their own, rows without one are dealt by their text; an empty table gives none.
+    """
+    placed, rows = _placed(docs, id_col, text_col, source_col, weights, block_words, shard_words, seed, False)
+    return in_files(placed, rows).select("doc_id", "size", "source_size", "target", _taken(block_words).alias("taken"), *_SELECTION)
 
 
 def _rewrite(text_at: int, length_at: int | None, block: int):
@@ -170,13 +193,13 @@ def _rewrite(text_at: int, length_at: int | None, block: int):
     return run
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """`docs` as the mix takes them: texts are the taken blocks, a second and third pass following
-    the first after an empty line; documents of which nothing is taken are left out."""
+    the first after an empty line; documents of which nothing is taken are left out. Every row goes
+    by its own line of the plan, whether its id is repeated, null or neither."""
     small_batches(docs.sparkSession)
-    plan = mix_plan(docs, id_col, text_col, **options).where("taken > 0").dropDuplicates(["doc_id"])
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), *(F.col(c).alias(f"_mix_{c}") for c in ("start", "blocks", "passes", "rest", "step", "shift")))
-    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["_mix_id"])).drop("_mix_id")
+    placed, _ = _placed(docs, id_col, text_col, source_col, weights, block_words, shard_words, seed, True)
+    chosen = placed.where(_taken(block_words) > 0).select("row.*", *(F.col(c).alias(f"_mix_{c}") for c in _SELECTION))
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    return in_files(joined, size, BYTES_PER_FILE).mapInArrow(_rewrite(docs.columns.index(text_col), length_at, options.get("block_words", BLOCK_WORDS)), docs.schema)
+    return in_files(chosen, size, BYTES_PER_FILE).mapInArrow(_rewrite(docs.columns.index(text_col), length_at, block_words), docs.schema)
