@@ -117,8 +117,35 @@ def test_repetition_and_persistence(spark):
     assert got == [(2,)] * 3 + [(3,)] + [(5,)] * 8
     seen = spark.createDataFrame([("all", p) for p in range(4)] + [("late", p) for p in (1, 2, 3)] + [("early", p) for p in (0, 1, 2)] + [("all", 0)], "k string, page int")
     assert rows(runs.persistent_members(seen, "k", "page", 4), "k", "support", "mode") == [("all", 4, "all"), ("late", 3, "after-first")]
-    clusters = display.persistent_clusters([0, 1, 2, 0, 1, 2, 1, 2, 3], [0, 1, 2, 100, 100, 112.5, 300, 300, 300], [0] * 9, 3)
-    assert clusters == [("all", [0, 1, 2])]
+
+
+def slow_groups(objects, pages, most=12.0):
+    """Seeds in order, each taking the nearest free object of every page, page by page."""
+    free, out = dict((o[2], o) for o in objects), []
+    for first, mode in ((0, "all"), (1, "after-first")):
+        for seed in sorted(i for i, o in free.items() if o[1] == first) if pages - first >= 3 else []:
+            k, _, _, x, y = free[seed]
+            got = [seed]
+            for p in range(first + 1, pages):
+                near = [(abs(o[3] - x) + abs(o[4] - y), i) for i, o in free.items() if o[0] == k and o[1] == p and abs(o[3] - x) <= most and abs(o[4] - y) <= most]
+                got += [min(near)[1]] if near else []
+            if len(got) == pages - first:
+                out += [(k, seed, mode, first + n, i) for n, i in enumerate(got)]
+                for i in got:
+                    del free[i]
+    return sorted(out)
+
+
+def test_groups_that_stay_in_place(spark):
+    schema = "key string, page int, item long, x double, y double"
+    line = [("k", p, i, float(x), 0.0) for i, (p, x) in enumerate([(0, 0), (1, 1), (2, 2), (0, 100), (1, 100), (2, 112.5), (1, 300), (2, 300), (0, 4)])]
+    rng = np.random.default_rng(4)
+    many = [(str(rng.choice(["a", "b"])), int(rng.integers(0, 4)), 100 + i, float(rng.integers(0, 60)), float(rng.integers(0, 30))) for i in range(90)]
+    for objects, pages in ((line, 3), (many, 4)):
+        got = display.persistent_groups(spark.createDataFrame(objects, schema), pages)
+        want = slow_groups(objects, pages)
+        assert rows(got, "key", "seed", "mode", "page", "item") == want and want
+    assert display.persistent_groups(spark.createDataFrame(line, schema), 2).count() == 0
 
 
 # --- policies and classifiers --------------------------------------------------------------------
@@ -233,6 +260,30 @@ def test_components_match_union_find(spark, seed):
     assert graph.connected_components(df.where("a < -1")).count() == 0
 
 
+def test_chains_of_any_depth(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None, "root" if not i else None) for i in range(300)], "id long, up long, v string")
+    assert rows(graph.inherited(chain, "id", "up", ["v"]).groupBy("v").count(), "v", "count") == [("root", 300)]
+    ring = spark.createDataFrame([(i, (i + 1) % 5, None) for i in range(5)], "id long, up long, v string")
+    assert graph.inherited(ring, "id", "up", ["v"]).where("v IS NULL").count() == 5
+    moved = spark.createDataFrame([(i + 1, i) for i in range(200)], "key long, canonical long")
+    edges = spark.createDataFrame([(1, 200), (2, 150)], "src long, dst long")
+    assert rows(dedup.rewrite_references(edges, moved), "src", "dst") == [(1, 0), (2, 0)]
+    with pytest.raises(ValueError, match="circle"):
+        dedup.rewrite_references(edges, moved.union(spark.createDataFrame([(0, 200)], moved.schema)))
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    assert graph.reachable(path, spark.createDataFrame([(0,)], "node long")).count() == 41
+
+
+def test_fixed_point_of_deep_differences(spark):
+    """Two chains that are equal but for their last nodes differ all the way up."""
+    n = 66
+    nodes = spark.createDataFrame([(c * 1000 + i, "end" + str(c) if i == n else "link") for c in (0, 1, 2) for i in range(n + 1)], "key long, body string")
+    nodes = nodes.withColumn("body", F.when(F.col("key") == 2000 + n, "end0").otherwise(F.col("body")))
+    edges = spark.createDataFrame([(c * 1000 + i, "next", c * 1000 + i + 1) for c in (0, 1, 2) for i in range(n)], "src long, slot string, dst long")
+    got = dict(rows(dedup.fixed_point_canonical(nodes, edges), "key", "canonical"))
+    assert all(got[i] == i and got[1000 + i] == 1000 + i and got[2000 + i] == i for i in range(n + 1))
+
+
 def test_reachability_inheritance_and_trees(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (3, 99), (6, None)], "src long, dst long")
     roots = spark.createDataFrame([(1,)], "node long")
@@ -240,7 +291,7 @@ def test_reachability_inheritance_and_trees(spark):
     nodes = spark.createDataFrame([(n,) for n in range(1, 7)], "node long")
     assert rows(graph.unreachable(nodes, edges, roots), "node") == [(4,), (5,), (6,)]
     tree = spark.createDataFrame([(1, None, "a", None), (2, 1, None, "x"), (3, 2, None, None), (4, 5, None, None), (5, 4, None, "z")], "id long, up long, v string, w string")
-    got = rows(graph.inherited(tree, "id", "up", ["v", "w"], depth=6).fillna("-"), "id", "v", "w")
+    got = rows(graph.inherited(tree, "id", "up", ["v", "w"]).fillna("-"), "id", "v", "w")
     assert got == [(1, "a", "-"), (2, "a", "x"), (3, "a", "x"), (4, "-", "z"), (5, "-", "z")]
     level = rows(graph.fan_out(spark.range(70).repartition(7), ["id"], 8, "id"), "level", "node", "low", "high", "children")
     assert level[:2] == [(0, 0, 0, 7, 8), (0, 1, 8, 15, 8)] and level[-3:] == [(1, 0, 0, 63, 8), (1, 1, 64, 69, 1), (2, 0, 0, 69, 2)]
@@ -265,13 +316,35 @@ def test_display_folds(spark):
     assert display.snap_coordinate(1.004) == 1.0 and display.snap_coordinate(1.004, unit=2) == 1.004
     assert display.paint_batches(["f"] * 5 + ["S"], [(0, 0, 1, 1), (0, 0, 2, 2), (1, 1, 2, 2), (9, 9, 10, 10), None, (0, 0, 1, 1)], [1, 1, -1, -1, 1, 1]) == [0, 0, 1, 1, 2, 3]
     assert max(display.paint_batches(["f"] * 130, [(0, 0, 1, 1)] * 130, [1] * 130)) == 2
-    draw = lambda y, h=2, s="a": {"state": s, "width": 20, "height": h, "x": 0, "y": y}
-    assert display.stripe_runs([draw(0), draw(2), draw(4), draw(6, s="b"), draw(8, s="b")]) == [(0, 3, "vertical")]
-    assert display.claim([(1, [1, 2]), (5, [2, 3]), (1, [4])]) == [False, True, True]
+    stripes = [("v", i, "a" if i < 3 else "b", 20, 2, 0, 2 * i) for i in range(5)] + [("h", i, "a", 2, 20, 30 - 2 * i, 5) for i in range(4)] + [("h", 9, "a", 20, 2, 0, 0)]
+    stripes += [("thin", i, "a", 5, 1, 0, i) for i in range(4)] + [("apart", i, "a", 20, 2, 0, 4 * i) for i in range(4)] + [("wide", i, "a", 20, 11, 0, 11 * i) for i in range(4)]
+    draws = spark.createDataFrame(stripes, "s string, o int, state string, width int, height int, x int, y int")
+    assert rows(display.stripe_runs(draws, ["s"], ["o"]), "s", "axis", "first", "members") == [("h", "horizontal", 0, 4), ("v", "vertical", 0, 3)]
+    plans = [(1, 1.0), (2, 5.0), (3, 1.0), (4, 0.5), (5, 0.1)]
+    members = [(1, 1), (1, 2), (2, 2), (2, 3), (3, 4), (4, 1), (4, 9)]
+    stand = display.claim(spark.createDataFrame(plans, "plan long, priority double"), spark.createDataFrame(members, "plan long, member long"))
+    assert rows(stand, "plan") == [(2,), (3,), (4,), (5,)]
     with pytest.raises(ValueError, match="occurrence 0"):
         display.match_quads([[0, 0.04]], [[0, 0]])
 
 
+def test_display_columns(spark):
+    df = spark.createDataFrame([(1, b"0123456789", [(5, 7), (1, 3), (2, 4)], [(4, 5, b"X"), (0, 2, b"")]), (2, b"ab", None, [(0, 2, b""), (1, 2, b"")]), (3, None, [(0, 1)], None)], "id int, d binary, r array<struct<start:long,end:long>>, p array<struct<start:long,end:long,new:binary>>")
+    got = {r.id: (r.a and bytes(r.a), r.b and bytes(r.b)) for r in df.select("id", display.without_ranges("d", "r").alias("a"), display.with_replacements("d", "p").alias("b")).collect()}
+    assert got == {1: (b"04789", b"23X56789"), 2: (b"ab", None), 3: (None, None)}
+    rects = spark.createDataFrame([("s", 1, 5.0, 0.0, 9.0, 1.0, "k"), ("s", 0, 0.0, 0.0, 5.0, 1.0, "k"), ("s", 2, 9.0, 0.0, 12.0, 1.0, "r"), ("t", 0, 0.0, 0.0, 1.0, 1.0, "k")], "s string, o int, x0 double, y0 double, x1 double, y1 double, colour string")
+    assert rows(display.merged_rects(rects, ["s"], ["o"]), "s", "run", "x0", "x1", "members") == [("s", 0, 0.0, 9.0, 2), ("s", 1, 9.0, 12.0, 1), ("t", 0, 0.0, 1.0, 1)]
+    paints = rects.withColumns({"kind": F.lit("f"), "winding": F.when(F.col("o") == 1, -1).otherwise(1), "x0": F.when(F.col("s") == "s", F.col("x0"))})
+    assert rows(display.paint_runs(paints, ["s"], ["o"]), "s", "o", "batch") == [("s", 0, 0), ("s", 1, 0), ("s", 2, 0), ("t", 0, 0)]
+    lines = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (1.0, 1.0)]), (2, [])], "id int, p array<struct<x:double,y:double>>")
+    found = {r.id: ([tuple(q) for q in r.c], [tuple(q) for q in r.d]) for r in lines.select("id", display.without_collinear("p").alias("c"), display.simplified("p").alias("d")).collect()}
+    assert found == {1: ([(0, 0), (2, 2), (1, 1)], [(0, 0), (2, 2), (1, 1)]), 2: ([], [])}
+    values = spark.createDataFrame([(1, 1.004), (2, 1.0075), (3, float("inf"))], "id int, v double")
+    assert rows(values.select("id", display.snapped("v").alias("a"), display.snapped("v", 2.0).alias("b")), "id", "a", "b") == [(1, 1.0, 1.004), (2, 1.01, 1.01), (3, float("inf"), float("inf"))]
+    quads = lambda *v: spark.createDataFrame([(i, [float(x) for x in q]) for i, q in v], "id int, quad array<double>")
+    assert rows(display.mismatched_quads(quads((1, (0, 0)), (2, (0, 0.04)), (3, (1, 1))), quads((1, (0, 0.02)), (2, (0, 0)), (4, (1, 1))), ["id"]), "id") == [(2,), (3,), (4,)]
+
+
 def test_pixels():
     rng = np.random.default_rng(0)
     gray = (rng.integers(0, 2, 35) * 255).astype(np.uint8).tobytes()

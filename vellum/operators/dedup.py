@@ -46,15 +46,20 @@ def redirects(df: DataFrame, key: str, fp: str) -> DataFrame:
     return df.join(least, fp).where(F.col(key) != F.col("canonical")).select(key, "canonical")
 
 
-def rewrite_references(edges: DataFrame, moved: DataFrame, dst: str = "dst", key: str = "key", rounds: int = 20) -> DataFrame:
-    """Edges whose targets follow redirects (key, canonical) to their end; others stay."""
-    closed = moved.select(F.col(key).alias("_k"), F.col("canonical").alias("_to"))
-    for _ in range(rounds):  # every round doubles the length of the chains it has followed
+def rewrite_references(edges: DataFrame, moved: DataFrame, dst: str = "dst", key: str = "key") -> DataFrame:
+    """Edges whose targets follow redirects (key, canonical) to their end; others stay.
+
+    Chains may have any length; redirects that run in a circle have no end and are an error.
+    """
+    closed = checkpoint(moved.select(F.col(key).alias("_k"), F.col("canonical").alias("_to")))
+    for _ in range(2 + closed.count().bit_length()):  # every round doubles the length of the chains it has followed
         ahead = closed.select(F.col("_k").alias("_to"), F.col("_to").alias("_next"))
         longer = checkpoint(closed.join(ahead, "_to", "left").select("_k", F.coalesce("_next", "_to").alias("_to"), F.col("_next").isNotNull().alias("_moved")))
         closed = longer.drop("_moved")
         if longer.where("_moved").isEmpty():
             break
+    else:
+        raise ValueError("redirects run in a circle")
     return edges.join(closed, edges[dst] == closed["_k"], "left").withColumn(dst, F.coalesce("_to", dst)).drop("_k", "_to")
 
 
@@ -74,17 +79,17 @@ def factor_groups(df: DataFrame, body: str, least_copies: int, least_saved: int,
     return groups.where((F.col("copies") >= least_copies) & (F.col("saved") >= least_saved))
 
 
-def fixed_point_canonical(nodes: DataFrame, edges: DataFrame, key: str = "key", body: str = "body", rounds: int = 64) -> DataFrame:
+def fixed_point_canonical(nodes: DataFrame, edges: DataFrame, key: str = "key", body: str = "body") -> DataFrame:
     """(key, canonical) of nodes that are equal with everything they refer to.
 
     Nodes start apart only by their bodies; each round splits a class by the classes its members
     point at, slot by slot, until no class splits: the coarsest partition that keeps equals together,
-    cycles included.
+    cycles included. That is at most as many rounds as there are nodes.
     """
     links = edges.select(F.col("src").alias("_s"), F.col("slot").alias("_slot"), F.col("dst").alias("_d"))
     classes = checkpoint(nodes.select(F.col(key), F.sha2(F.coalesce(F.col(body).cast("binary"), F.lit("").cast("binary")), 256).alias("class")))
     count = classes.agg(F.count_distinct("class")).first()[0]
-    for _ in range(rounds):
+    while True:
         seen = links.join(classes, links["_d"] == classes[key], "left").select("_s", F.concat_ws("=", "_slot", F.coalesce("class", F.lit("null"))).alias("at"))
         told = seen.groupBy("_s").agg(F.array_join(F.array_sort(F.collect_list("at")), ";").alias("at"))
         joined = classes.join(told, classes[key] == told["_s"], "left")

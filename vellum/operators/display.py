@@ -1,8 +1,8 @@
 """Display-list transforms: folds over a stream's ordered instructions, rectangles and points.
 
-Each is a pure function of one stream, applied stream by stream with `fold`: streams are independent
+Folds are pure functions of one stream, applied stream by stream with `fold`: streams are independent
 and a stream's order can't be split, so parallelism is over streams and nothing but the stream's own
-rows meets in a task.
+rows meets in a task. Runs, claims and groups that stay in place are joins and windows.
 """
 
 from __future__ import annotations
@@ -12,8 +12,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType, pandas_udf
 
+from vellum.operators.graph import global_rank
+from vellum.session import checkpoint
 from vellum.sources import cos
 
 
@@ -155,75 +159,181 @@ def paint_batches(kinds: Sequence[str], bounds: Sequence[Rect | None], winding:
     return out
 
 
-def stripe_axis(a: dict, b: dict, gap: float) -> str | None:
-    """Whether two neighbouring draws continue a stripe: vertical, horizontal or not.
+def stripe_runs(draws: DataFrame, stream: Sequence[str], order: Sequence[str], gap: float = 1.0, least: int = 3) -> DataFrame:
+    """(stream, axis, first, members): runs of at least `least` neighbouring draws that make up a stripe.
 
-    Draws are dicts of state, width, height (pixels) and x, y (in pixels of the image's basis).
+    Draws have state, width, height (pixels) and x, y. Two neighbours continue a stripe along an axis if
+    they share their state, are equally long across it, over five pixels and at least twice as long as
+    along it, lie in line across it to within `gap`, and touch along it, on either side, to within `gap`.
     """
-    if a["state"] != b["state"] or max(a["width"], a["height"]) <= 5 or max(b["width"], b["height"]) <= 5:
-        return None
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    if a["width"] == b["width"] and 2 * a["height"] <= a["width"] and 2 * b["height"] <= b["width"] and abs(dx) <= gap and (abs(dy - a["height"]) <= gap or abs(dy + b["height"]) <= gap):
-        return "vertical"
-    if a["height"] == b["height"] and 2 * a["width"] <= a["height"] and 2 * b["width"] <= b["height"] and abs(dy) <= gap and (abs(dx - a["width"]) <= gap or abs(dx + b["width"]) <= gap):
-        return "horizontal"
-    return None
+    w = Window.partitionBy(*stream).orderBy(*order)
+    draws = draws.withColumns({"_n": F.row_number().over(w), "_before": F.lag(F.struct("state", "width", "height", "x", "y")).over(w)})
+    was = lambda c: F.col("_before")[c]
+
+    def continues(across: str, along: str, line: str, way: str) -> Column:
+        step = F.col(way) - was(way)
+        slim = (F.col(across) > 5) & (2 * F.greatest(F.col(along), was(along)) <= F.col(across))
+        touch = F.least(F.abs(step - was(along)), F.abs(step + F.col(along))) <= gap
+        return (F.col("state") == was("state")) & (F.col(across) == was(across)) & slim & (F.abs(F.col(line) - was(line)) <= gap) & touch
+
+    axis = F.when(continues("width", "height", "x", "y"), "vertical").when(continues("height", "width", "y", "x"), "horizontal")
+    links = draws.withColumn("axis", axis).where("axis IS NOT NULL")
+    # links of a run are neighbours: their places less their rank are one number
+    same = Window.partitionBy(*stream, "axis").orderBy("_n")
+    runs = links.withColumn("_run", F.col("_n") - F.row_number().over(same)).groupBy(*stream, "axis", "_run")
+    return runs.agg((F.min("_n") - 2).alias("first"), (F.count("*") + 1).alias("members")).where(F.col("members") >= least).drop("_run")
+
+
+def _settle(wants: DataFrame, slots: int | Column | None = None) -> DataFrame:
+    """(seed, slot, item, place) of seeds in ascending order that take an item for each of their slots.
+
+    `wants` is (seed, slot, item, place), `place` saying which item a slot likes best, `slots` how many a
+    seed must fill (all it has, if none). A seed takes only what none before it holds, and nothing unless all its slots
+    are filled. Each round settles every seed that no open seed before it can hinder, and drops those
+    that can't be filled any more; the first open seed is always one of them, so rounds end.
+    """
+    wants = checkpoint(wants)
+    need = wants.groupBy("seed").agg((F.count_distinct("slot") if slots is None else F.max(F.lit(slots))).alias("need"))
+    need, taken = checkpoint(need), None
+    while not wants.isEmpty():
+        best = wants.groupBy("seed", "slot").agg(F.min(F.struct("place", "item")).alias("best"))
+        able = best.groupBy("seed").agg(F.count("*").alias("have")).join(need, "seed").where("have = need").select("seed")
+        wants = wants.join(able, "seed", "left_semi")
+        first = wants.groupBy("item").agg(F.min("seed").alias("owner"))
+        picks = best.join(able, "seed", "left_semi").select("seed", "slot", "best.item", "best.place").join(first, "item")
+        free = picks.groupBy("seed").agg(F.bool_and(F.col("owner") == F.col("seed")).alias("free")).where("free")
+        won = checkpoint(picks.join(free, "seed", "left_semi").select("seed", "slot", "item", "place"))
+        taken = won if taken is None else taken.union(won)
+        wants = checkpoint(wants.join(won.select("seed").distinct(), "seed", "left_anti").join(won.select("item").distinct(), "item", "left_anti"))
+    return wants if taken is None else taken
+
+
+def claim(plans: DataFrame, members: DataFrame) -> DataFrame:
+    """Plans (plan, priority) that stand, where each member (plan, member) may serve one plan only.
+
+    Higher priorities go first, then smaller plans; a plan stands if none that stands before it has a
+    member of it. Plans without members stand.
+    """
+    order = checkpoint(global_rank(plans.withColumn("_first", -F.col("priority")), ["_first", "plan"]).select("plan", F.col("rank").alias("seed")))
+    wants = members.distinct().join(order, "plan").select("seed", F.col("member").alias("slot"), F.col("member").alias("item"), F.lit(0).alias("place"))
+    held = _settle(wants).select("seed").distinct().join(order, "seed").select("plan")
+    return held.union(plans.join(members.select("plan").distinct(), "plan", "left_anti").select("plan"))
 
 
-def stripe_runs(draws: Sequence[dict], gap: float = 1.0, least: int = 3) -> list[tuple[int, int, str]]:
-    """(first, members, axis) of runs of at least `least` draws along one axis."""
-    out, at = [], 0
-    while at < len(draws):
-        axis, end = None, at
-        while end + 1 < len(draws):
-            found = stripe_axis(draws[end], draws[end + 1], gap)
-            if found is None or (axis and found != axis):
-                break
-            axis, end = found, end + 1
-        if axis and end - at + 1 >= least:
-            out.append((at, end - at + 1, axis))
-        at = max(end, at + 1) if axis is None or end - at + 1 < least else end + 1
-    return out
+def persistent_groups(objects: DataFrame, pages: int, key: str = "key", page: str = "page", item: str = "item", most: float = 12.0, least: int = 3) -> DataFrame:
+    """(key, seed, mode, page, item): objects that stay in place on all pages, or on all after the first.
 
+    Objects have a key, a page (0 to pages - 1), a unique item that orders them, x and y. Every object of
+    the first page looks on each other page for the nearest (by sum of differences, then item) of its key
+    within `most` along either axis; in order of items, one that finds all takes them, and none is taken
+    twice. What is left is tried again from the second page on. Fewer than `least` pages make no group.
+    """
+    grid = lambda c: F.floor(F.col(c) / most)
+    rows = objects.select(F.col(key).alias("key"), F.col(page).alias("page"), F.col(item).alias("item"), "x", "y")
+    out = None
+    for first, mode in ((0, "all"), (1, "after-first")):
+        if pages - first < max(least, 1):
+            continue
+        # what isn't on every page that counts can't make a group
+        wide = rows.where(F.col("page") >= first).groupBy("key").agg(F.count_distinct("page").alias("n")).where(F.col("n") == pages - first)
+        rows_ = rows.join(wide.select("key"), "key", "left_semi")
+        around = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
+        seeds = rows_.where(F.col("page") == first).select("key", F.col("item").alias("seed"), F.col("x").alias("sx"), F.col("y").alias("sy"), grid("x").alias("gx"), grid("y").alias("gy"))
+        cells = seeds.withColumn("dx", around).withColumn("dy", around).withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")})
+        others = rows_.where(F.col("page") > first).withColumns({"gx": grid("x"), "gy": grid("y")})
+        away = F.abs(F.col("x") - F.col("sx")) + F.abs(F.col("y") - F.col("sy"))
+        near = cells.join(others, ["key", "gx", "gy"]).where((F.abs(F.col("x") - F.col("sx")) <= most) & (F.abs(F.col("y") - F.col("sy")) <= most))
+        own = seeds.select("seed", F.lit(first).alias("slot"), F.col("seed").alias("item"), F.lit(0.0).alias("place"))
+        wants = near.select("seed", F.col("page").alias("slot"), "item", away.alias("place")).union(own)
+        found = checkpoint(_settle(wants, pages - first).select("seed", F.lit(mode).alias("mode"), F.col("slot").alias("page"), "item"))
+        rows = checkpoint(rows.join(found.select("item"), "item", "left_anti"))
+        out = found if out is None else out.union(found)
+    if out is None:
+        return rows.select("key", F.col("item").alias("seed"), F.lit("all").alias("mode"), "page", "item").where("false")
+    return objects.select(F.col(key).alias("key"), F.col(item).alias("item")).join(out, "item").select("key", "seed", "mode", "page", "item")
 
-def claim(plans: Sequence[tuple[float, Sequence[int]]]) -> list[bool]:
-    """Which plans stand: in order of priority, those whose members no plan before has claimed."""
-    taken: set[int] = set()
-    out = [False] * len(plans)
-    for i in sorted(range(len(plans)), key=lambda k: (-plans[k][0], k)):
-        if not taken & set(plans[i][1]):
-            taken |= set(plans[i][1])
-            out[i] = True
-    return out
 
+# --- the same over tables ------------------------------------------------------------------------
 
-def persistent_clusters(page: Sequence[int], x: Sequence[float], y: Sequence[float], pages: int, most: float = 12.0, least: int = 3) -> list[tuple[str, list[int]]]:
-    """(mode, members) of objects that stay in place on all pages, or on all after the first.
+SPANS = "array<struct<start:long,end:long>>"
 
-    Seeds are the first page's members in order; every page gives its nearest member by sum of
-    differences within `most` of the seed, none twice; ties to the earlier.
-    """
-    used: set[int] = set()
-    out = []
-    for first, mode in ((0, "all"), (1, "after-first")):
-        if pages - first < least or (first and pages < 2):
-            continue
-        by = [[i for i, p in enumerate(page) if p == k] for k in range(pages)]
-        if any(not [i for i in by[k] if i not in used] for k in range(first, pages)):
-            continue
-        for seed in by[first]:
-            if seed in used:
-                continue
-            members = []
-            for k in range(first, pages):
-                near = [(abs(x[i] - x[seed]) + abs(y[i] - y[seed]), i) for i in by[k] if i not in used and abs(x[i] - x[seed]) <= most and abs(y[i] - y[seed]) <= most]
-                if not near:
-                    break
-                members.append(min(near)[1])
-            if len(members) == pages - first:
-                used |= set(members)
-                out.append((mode, members))
-    return out
+
+def _udf(each: Callable, kind: str):
+    """A Pandas UDF of a function of values; null where the first is null."""
+
+    def run(*columns):
+        return pd.Series([None if row[0] is None else each(*row) for row in zip(*columns)])
+
+    return pandas_udf(run, kind, PandasUDFType.SCALAR)
+
+
+def without_ranges(data: str | Column, ranges: str | Column) -> Column:
+    """Bytes without the ranges of an array<struct<start,end>> column; null ranges remove nothing."""
+    return _udf(lambda d, r: remove_ranges(bytes(d), [(x["start"], x["end"]) for x in (r if r is not None else [])]), "binary")(data, ranges)
+
+
+def with_replacements(data: str | Column, parts: str | Column) -> Column:
+    """Bytes with the parts of an array<struct<start,end,new>> column put in; null if any two overlap."""
+    return _udf(lambda d, r: replace_ranges(bytes(d), [(x["start"], x["end"], bytes(x["new"])) for x in (r if r is not None else [])]), "binary")(data, parts)
+
+
+def normalised(content: str | Column) -> Column:
+    """Content streams with one instruction a line, where that is safe."""
+    return _udf(lambda c: normal_form(bytes(c)), "binary")(content)
+
+
+def merged_rects(rects: DataFrame, stream: Sequence[str], order: Sequence[str], colour: str = "colour", snap: float = 0.01) -> DataFrame:
+    """(stream, run, x0, y0, x1, y1, members): neighbouring rectangles (x0, y0, x1, y1) of one colour as one where they fit."""
+    kinds = ", ".join(f"{n} {t}" for n, t in rects.select(*stream).dtypes)
+
+    def each(part: pd.DataFrame) -> pd.DataFrame:
+        found = merge_run(list(part[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), part[colour].tolist(), snap)
+        out = pd.DataFrame([(i, *map(float, r), n) for i, (r, n) in enumerate(found)], columns=["run", "x0", "y0", "x1", "y1", "members"])
+        for c in reversed(list(stream)):
+            out.insert(0, c, part[c].iloc[0])
+        return out
+
+    return fold(rects, stream, order, each, f"{kinds}, run long, x0 double, y0 double, x1 double, y1 double, members long")
+
+
+def paint_runs(paints: DataFrame, stream: Sequence[str], order: Sequence[str], most: int = 64) -> DataFrame:
+    """Paints (kind, x0, y0, x1, y1, winding) with their `batch` in the stream; null bounds stand alone."""
+    kinds = ", ".join(f"{n} {t}" for n, t in paints.dtypes)
+
+    def each(part: pd.DataFrame) -> pd.DataFrame:
+        box = [None if any(pd.isna(v) for v in r) else r for r in part[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)]
+        return part.assign(batch=paint_batches(part["kind"].tolist(), box, part["winding"].tolist(), most))
+
+    return fold(paints, stream, order, each, f"{kinds}, batch long")
+
+
+def _points(each: Callable):
+    return _udf(lambda p: each([(q["x"], q["y"]) for q in p]), "array<struct<x:double,y:double>>")
+
+
+def without_collinear(points: str | Column) -> Column:
+    """Arrays of points (x, y) without those on a straight line between their neighbours."""
+    return _points(lambda p: [{"x": x, "y": y} for x, y in drop_collinear(p)])(points)
+
+
+def simplified(points: str | Column, most: float = 0.005) -> Column:
+    """Arrays of points (x, y) that stay within `most` of the polyline."""
+    return _points(lambda p: [{"x": p[i][0], "y": p[i][1]} for i in simplify(p, most)] if p else [])(points)
+
+
+def snapped(value: str | Column, unit: float | Column = 1.0, grid: float = 0.01, most: float = 0.0071) -> Column:
+    """A coordinate column on the grid where that moves it by at most `most` points, else as it is."""
+    value = F.col(value) if isinstance(value, str) else value
+    to = F.rint(value / grid) * grid
+    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.when(finite & (F.abs(to - value) * unit <= most), F.round(to, 10)).otherwise(value)
+
+
+def mismatched_quads(found: DataFrame, expected: DataFrame, on: Sequence[str], quad: str = "quad", most: float = 0.03) -> DataFrame:
+    """Keys whose quads differ in any corner by more than `most`, or that only one side has."""
+    both = found.select(*on, F.col(quad).alias("_a")).join(expected.select(*on, F.col(quad).alias("_b")), list(on), "full")
+    apart = F.exists(F.zip_with("_a", "_b", lambda a, b: F.coalesce(F.abs(a - b) > most, F.lit(True))), lambda x: x)
+    return both.where(F.coalesce(apart, F.lit(True))).select(*on)
 
 
 def match_quads(found: Sequence[Sequence[float]], expected: Sequence[Sequence[float]], most: float = 0.03) -> None:

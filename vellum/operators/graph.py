@@ -13,6 +13,8 @@ from vellum.session import checkpoint
 
 
 EDGES_PER_FILE, BROADCAST_EDGES = 200_000, 50_000
+#: Frontiers of a search that are kept apart before they are written as one table.
+FRONTIERS = 24
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,11 +54,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 20_000]), pa.array(b[i : i + 20_000])], ["a", "b"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, about: int | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", about: int | None = None) -> DataFrame:
     """(node, component) for every node of an edge, component being its least reachable node.
 
     Each partition first contracts its own edges to a forest; then large-star and small-star
-    steps alternate, each a grouped minimum and a join, until the edges stand still. Edges with
+    steps alternate, each a grouped minimum and a join, until the edges stand still (about the
+    logarithm of the longest chain in rounds, however many these are). Edges with
     a null end are ignored, self loops only name their node. Every round is checkpointed. `about` may say
     how many nodes there are at most, so that few don't go to many files.
     """
@@ -67,7 +70,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     kept = checkpoint(pairs.mapInArrow(_forest, "a long, b long"))
     stars = kept.where("a <> b")
     now = seen = stars.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-    for _ in range(rounds if now[0] else 0):
+    while now[0]:
         # edges point from a node to a smaller one: the large star moves each to what its end points at
         ends = stars.groupBy(F.col("a").alias("end")).agg(F.min("b").alias("m"))
         if now[0] <= BROADCAST_EDGES:  # else a join, whose hubs the engine splits
@@ -91,21 +94,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     return every.coalesce(1 + now[0] // EDGES_PER_FILE)
 
 
-def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", rounds: int = 200) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", node: str = "node") -> DataFrame:
     """Nodes reached from the roots along directed edges, roots included; cycles are harmless.
 
-    The frontier advances by a join and an anti-join a round; every round is checkpointed.
+    The frontier advances by a join and an anti-join a round until it is empty. Only the frontier is
+    checkpointed; what was seen is the union of all frontiers, written as one table now and then.
     """
-    links = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).dropna().distinct()
-    seen = checkpoint(roots.select(F.col(node).alias("node")).dropna().distinct())
-    front = seen
-    for _ in range(rounds):
+    links = checkpoint(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).dropna().distinct())
+    front = checkpoint(roots.select(F.col(node).alias("node")).dropna().distinct())
+    seen, parts = front, 1
+    while True:
         step = front.join(links, front["node"] == links["_s"]).select(F.col("_d").alias("node")).distinct()
         front = checkpoint(step.join(seen, "node", "left_anti"))
         if front.isEmpty():
             return seen
-        seen = checkpoint(seen.union(front))
-    raise RuntimeError(f"not all reached after {rounds} rounds")
+        seen, parts = seen.union(front), parts + 1
+        if parts >= FRONTIERS:
+            seen, parts = checkpoint(seen), 1
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, node: str = "node", **names: str) -> DataFrame:
@@ -113,23 +118,23 @@ def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, node: str
     return nodes.join(reachable(edges, roots, node=node, **names).withColumnRenamed("node", node), node, "left_anti")
 
 
-def inherited(nodes: DataFrame, key: str, parent: str, values: list[str], depth: int = 64) -> DataFrame:
+def inherited(nodes: DataFrame, key: str, parent: str, values: list[str]) -> DataFrame:
     """Nodes with each value taken from the nearest ancestor that has it, themselves first.
 
-    Only nodes that still miss a value climb; a cycle of parents ends at `depth`.
+    Every round a node takes what the ancestor it points at has found and then points where that one
+    points, so chains of any depth take a logarithm of rounds; a cycle of parents ends when as many
+    steps are made as there are nodes. Keys are unique; null keys inherit and pass nothing on.
     """
-    own = nodes.select(F.col(key).alias("_up"), F.col(parent).alias("_next"), *[F.col(v).alias(f"_v_{v}") for v in values])
     rows = checkpoint(nodes.withColumn("_at", F.col(parent)))
-    for _ in range(depth):
-        missing = F.lit(False)
-        for v in values:
-            missing = missing | F.col(v).isNull()
-        open_ = F.col("_at").isNotNull() & missing
-        if rows.where(open_).isEmpty():
+    missing = F.lit(False)
+    for v in values:
+        missing = missing | F.col(v).isNull()
+    for _ in range(1 + rows.count().bit_length()):
+        if rows.where(F.col("_at").isNotNull() & missing).isEmpty():
             break
-        climbing = rows.where(open_).join(own, F.col("_at") == F.col("_up"), "left")
-        climbed = climbing.select(*[F.coalesce(c, f"_v_{c}").alias(c) if c in values else F.col(c) for c in nodes.columns], F.col("_next").alias("_at"))
-        rows = checkpoint(rows.where(~open_).unionByName(climbed))
+        above = rows.select(F.col(key).alias("_up"), F.col("_at").alias("_next"), *[F.col(v).alias(f"_v_{v}") for v in values])
+        climbing = rows.join(above, F.col("_at") == F.col("_up"), "left")
+        rows = checkpoint(climbing.select(*[F.coalesce(c, f"_v_{c}").alias(c) if c in values else F.col(c) for c in nodes.columns], F.col("_next").alias("_at")))
     return rows.drop("_at")
 
 

@@ -62,7 +62,12 @@ def roles(objects: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def summaries(files: DataFrame) -> DataFrame:
-    """One row a readable document: sizes, counts, wasted bytes by role and hidden texts."""
+    """One row a readable document: sizes, counts, wasted bytes by role and hidden texts.
+
+    Files with equal contents are scanned once, under the first of their paths, and each has its row.
+    """
+    paths = files.select("path", F.sha2("content", 256).alias("doc_id"), F.octet_length("content").cast("long").alias("input_bytes"))
+    files = files.join(paths.groupBy("doc_id").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
     objects, edges, pages = documents.scan_objects(files), documents.scan_edges(files), documents.scan_pages(files)
     named = roles(objects, edges)
     size = F.when(F.col("type") == "stream", F.col("raw_len")).otherwise(0)
@@ -74,7 +79,7 @@ def summaries(files: DataFrame) -> DataFrame:
     paged = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
     density = content_density(documents.parse_content(pages))
     hidden = text_state.hidden_text(text_state.scan_events(files)).groupBy("doc_id").agg(F.count("*").alias("hidden_text_findings"))
-    out = files.select("path", F.sha2("content", 256).alias("doc_id"), F.octet_length("content").cast("long").alias("input_bytes")).join(base, "doc_id")
+    out = paths.join(base, "doc_id")
     for part in (wasted, paged, density, hidden):
         out = out.join(part, "doc_id", "left")
     return out.fillna(0)

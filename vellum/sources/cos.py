@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -143,12 +144,14 @@ class Document:
     size: int
     problems: list[str] = field(default_factory=list)
 
-    def get(self, value, hops: int = 32):
+    def get(self, value):
         """What a reference stands for; null for a missing one or a cycle."""
+        met: set[Ref] = set()
         while isinstance(value, Ref):
-            value, hops = self.objects.get(value), hops - 1
-            if hops <= 0:
+            if value in met:
                 return None
+            met.add(value)
+            value = self.objects.get(value)
         return value
 
     def dictionary(self, value) -> dict:
@@ -170,25 +173,23 @@ class Document:
         out: list[tuple[Ref | None, dict]] = []
         seen: set[Ref] = set()
 
-        def walk(ref, above: dict, depth: int) -> None:
-            if depth > 64 or (isinstance(ref, Ref) and ref in seen):
-                return
+        root = self.dictionary(self.trailer.get("Root"))
+        ahead: list[tuple[object, dict]] = [(root["Pages"], {})] if root.get("Pages") is not None else []
+        while ahead:  # the last is next: a node's kids go on in reverse
+            ref, above = ahead.pop()
             if isinstance(ref, Ref):
+                if ref in seen:
+                    continue
                 seen.add(ref)
             node = self.get(ref)
             if not isinstance(node, dict):
-                return
+                continue
             inherited = above | {k: node[k] for k in ("Resources", "MediaBox", "CropBox", "Rotate") if self.get(node.get(k)) is not None}
             kids = self.get(node.get("Kids"))
             if isinstance(kids, list) and node.get("Type") != "Page":
-                for kid in kids:
-                    walk(kid, inherited, depth + 1)
+                ahead += [(kid, inherited) for kid in reversed(kids)]
             else:
                 out.append((ref if isinstance(ref, Ref) else None, inherited | node))
-
-        root = self.dictionary(self.trailer.get("Root"))
-        if root.get("Pages") is not None:
-            walk(root["Pages"], {}, 0)
         if not out:
             out = [(r, o) for r, o in sorted(self.objects.items()) if isinstance(o, dict) and o.get("Type") == "Page"]
         return out
@@ -354,9 +355,9 @@ def reachable_objects(doc: Document) -> list[Ref]:
     """Objects that the trailer reaches, in the order in which they are met."""
     order: list[Ref] = []
     seen: set[Ref] = set()
-    queue = [r for k in ("Root", "Info") for _, r in references(doc.trailer.get(k))]
+    queue = deque(r for k in ("Root", "Info") for _, r in references(doc.trailer.get(k)))
     while queue:
-        ref = queue.pop(0)
+        ref = queue.popleft()
         if ref in seen or ref not in doc.objects:
             continue
         seen.add(ref)

@@ -21,6 +21,8 @@ from vellum.functions.codecs import UnsupportedFilter, decode_filters
 from vellum.sources import cos
 
 FAILURE_EXAMPLES = 100
+#: What reading a damaged document may raise.
+UNREADABLE = (ValueError, EOFError, RecursionError, TypeError, IndexError, KeyError, AttributeError, OverflowError)
 OBJECTS = "doc_id string, num long, gen int, type string, kind string, subtype string, keys array<string>, value string, filters array<string>, raw binary, raw_len long, data_sha256 string"
 EDGES = "doc_id string, src long, key string, key_path array<string>, dst long"
 PAGES = "doc_id string, page int, num long, x0 double, y0 double, x1 double, y1 double, user_unit double, rotate int, content binary, complete boolean"
@@ -40,14 +42,17 @@ def _over(each: Callable[[cos.Document], Iterator[tuple]], schema: pa.Schema):
             for content in batch.column("content"):
                 try:
                     doc = cos.parse(content.as_py() or b"")
-                except (ValueError, EOFError, RecursionError):
+                except UNREADABLE:
                     continue  # it stands among the failures
                 rows = []
-                for row in each(doc):
-                    rows.append(row)
-                    if len(rows) >= 2000:
-                        yield _batch(rows, schema)
-                        rows = []
+                try:
+                    for row in each(doc):
+                        rows.append(row)
+                        if len(rows) >= 2000:
+                            yield _batch(rows, schema)
+                            rows = []
+                except UNREADABLE:
+                    pass  # what was read stays; the document stands among the failures
                 if rows:
                     yield _batch(rows, schema)
 
@@ -171,15 +176,19 @@ def parse_content(pages: DataFrame) -> DataFrame:
 
 
 def scan_failures(files: DataFrame) -> DataFrame:
-    """(path, error) of documents that can't be read: no document, damaged or encrypted."""
+    """(path, error) of documents that can't be read, or not to their end by some scan: no document,
+    damaged or encrypted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    cos.parse(content.as_py() or b"")
-                except (ValueError, EOFError, RecursionError) as error:
+                    doc = cos.parse(content.as_py() or b"")
+                    for each in (_objects, _edges, _pages):
+                        for _ in each(doc):
+                            pass
+                except UNREADABLE as error:
                     rows.append((path, f"{type(error).__name__}: {error}"))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "error"])
@@ -228,7 +237,7 @@ def rewrite(files: DataFrame, packed: bool = True) -> DataFrame:
                 try:
                     doc = cos.parse(data)
                     out = min([cos.write(doc, form) for form in ((True, False) if packed else (False,))], key=len)
-                except (ValueError, EOFError, RecursionError):
+                except UNREADABLE:
                     continue
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([doc.sha256]), pa.array([len(data)]), pa.array([out], pa.binary()), pa.array([len(out)])], ["path", "doc_id", "before", "content", "after"])
 

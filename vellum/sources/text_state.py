@@ -167,7 +167,8 @@ def layers_off(doc: cos.Document) -> set[cos.Ref]:
 
 
 def scan_events(files: DataFrame) -> DataFrame:
-    """Texts and paints of all pages; a page that can't be read whole has `complete` false."""
+    """Texts and paints of all pages; a page that can't be read whole has `complete` false, and one
+    that can't be read at all is one event `unreadable`."""
     from vellum.sources.documents import _box, _scan
 
     def each(doc: cos.Document) -> Iterator[tuple]:
@@ -179,7 +180,7 @@ def scan_events(files: DataFrame) -> DataFrame:
             try:
                 events, whole = page_events(doc, page, off)
             except (ValueError, TypeError, IndexError):
-                continue
+                events, whole = [{"ord": 0, "event": "unreadable", "rect": None, "clip": None}], False
             for e in events:
                 yield (
                     doc.sha256, i, (box[2] - box[0]) * (box[3] - box[1]), e["ord"], e["event"], e.get("text"), e.get("mode"), e.get("alpha"), e.get("layer_off", False), e.get("actual_text"),
