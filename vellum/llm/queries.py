@@ -94,15 +94,15 @@ def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOPK_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(CAST(q.ints AS DOUBLE[]), CAST(r.ints AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0
+  SELECT q.row, q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(CAST(q.ints AS DOUBLE[]), CAST(r.ints AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.row <> r.row WHERE q.vec_id % 20 = 0
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
 
