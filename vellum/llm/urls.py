@@ -1,8 +1,11 @@
 """URL filtering by association rules that FP-growth mines from labelled addresses.
 
 Every address is a set of tokens: its scheme, the suffixes of its host, its path's segments with
-digits levelled, its ending and its query's keys. FP-growth finds the frequent token sets of the
-labelled addresses with their label as one more token; those sets that predict a label with
+digits levelled, its ending and its query's keys. Parallel FP-growth finds the token sets that are
+frequent under a label: tokens below the least support go first, equal sets are counted together,
+each token's conditional base (what stands before it in order of frequency) is one group, and sets
+grow in it to `max_tokens` tokens and no further, so a long address costs a polynomial and not, as
+with the library's miner, which lists all frequent sets, a power of two. Sets that predict a label with
 enough support, confidence and lift, and that no more general rule predicts as well, become rules.
 An inverted index holds each rule under its rarest token, so an address meets only rules of which
 it has that token. Explicit host and path rules go before mined ones.
@@ -10,9 +13,10 @@ it has that token. Explicit host and path rules go before mined ones.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.fpm import FPGrowth
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +25,8 @@ from vellum.session import checkpoint
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MAX_TOKENS = 0.01, 0.7, 1.2, 4
 BLOCK, ALLOW = "block", "allow"
+#: Frequent tokens, and rules, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 50_000
 
 
 def host_of(url: Column) -> Column:
@@ -59,35 +65,72 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.concat(scheme, suffixes, levelled, query)), F.array().cast("array<string>"))
 
 
+def _grow(of_label: dict[str, int], total: int, min_support: float, min_confidence: float, min_lift: float, max_tokens: int):
+    """Rules whose least frequent token is the group's, from its conditional base (token, before, label, n)."""
+    names = sorted(of_label)
+    shares = np.array([of_label[x] / total for x in names])
+
+    def sets(has: np.ndarray, weight: np.ndarray, live: np.ndarray, chosen: list[int], start: int) -> Iterator[tuple[list[int], np.ndarray]]:
+        """The chosen tokens' counts by label, then those of all that they grow to, in one order of tokens."""
+        counts = weight[live].sum(0)
+        yield chosen, counts
+        if len(chosen) + 1 < max_tokens:
+            ahead = has[live, start:].T @ weight[live]
+            for t in np.flatnonzero((ahead >= min_support * total).any(1)):
+                yield from sets(has, weight, live[has[live, start + t] > 0], [*chosen, start + int(t)], start + int(t) + 1)
+
+    def run(table: pa.Table) -> pa.Table:
+        token = table.column("token")[0].as_py()
+        before, label = table.column("before").to_pylist(), table.column("label").to_pylist()
+        others = sorted({t for x in before for t in x})
+        at, place = {t: i for i, t in enumerate(others)}, {x: i for i, x in enumerate(names)}
+        has, weight = np.zeros((len(before), len(others))), np.zeros((len(before), len(names)))
+        for i, (x, y, n) in enumerate(zip(before, label, table.column("n").to_pylist())):
+            has[i, [at[t] for t in x]] = 1
+            weight[i, place[y]] = n
+        out = []
+        for chosen, counts in sets(has, weight, np.arange(len(before)), [], 0):
+            every = counts.sum()
+            for k in np.flatnonzero((counts >= min_support * total) & (counts >= min_confidence * every)):
+                lift = counts[k] / every / shares[k]
+                if lift >= min_lift:
+                    out.append((sorted([token, *(others[c] for c in chosen)]), names[k], counts[k] / total, counts[k] / every, lift))
+        columns = list(zip(*out)) or [[]] * 5
+        kinds = (pa.list_(pa.string()), pa.string(), pa.float64(), pa.float64(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["tokens", "verdict", "support", "confidence", "lift"])
+
+    return run
+
+
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Rules (tokens, verdict, support, confidence, lift, key) from `labelled` (tokens, label).
 
     `key` is the rule's rarest token, under which the index holds it. No labelled rows: no rules.
     """
+    spark = labelled.sparkSession
     rows = labelled.where(F.col("label").isNotNull() & (F.size("tokens") > 0))
-    items = checkpoint(rows.select(F.array_union("tokens", F.array(F.concat(F.lit("="), "label"))).alias("items")))
-    n = items.count()
-    empty = "tokens array<string>, verdict string, support double, confidence double, lift double, key string"
+    whole = checkpoint(rows.groupBy(F.array_sort("tokens").alias("tokens"), "label").agg(F.count("*").alias("n")))
+    of_label = {r["label"]: r["n"] for r in whole.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    n = sum(of_label.values())
+    rule = "tokens array<string>, verdict string, support double, confidence double, lift double"
     if not n:
-        return labelled.sparkSession.createDataFrame([], empty)
-    # tokens below the least support can't be in a rule, and those of all rows say nothing
-    parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=parts).fit(items)
-    sets = checkpoint(model.freqItemsets.where(F.size("items") <= max_tokens + 1).select(F.array_sort("items").alias("items"), "freq"))
-    is_label = lambda x: x.startswith("=")
-    split = sets.select(F.filter("items", lambda x: ~is_label(x)).alias("tokens"), F.filter("items", is_label).alias("labels"), "freq")
-    base = split.where((F.size("labels") == 0) & (F.size("tokens") > 0)).select("tokens", F.col("freq").alias("all"))
-    label = split.where((F.size("labels") == 1) & (F.size("tokens") == 0)).select("labels", F.col("freq").alias("of_label"))
-    both = split.where((F.size("labels") == 1) & (F.size("tokens") > 0)).join(base, "tokens").join(label, "labels")
-    rules = both.select("tokens", F.expr("substring(labels[0], 2)").alias("verdict"), (F.col("freq") / n).alias("support"), (F.col("freq") / F.col("all")).alias("confidence"), (F.col("freq") / F.col("all") / (F.col("of_label") / n)).alias("lift"))
-    rules = checkpoint(rules.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)))
+        return spark.createDataFrame([], rule + ", key string")
+    # tokens below the least support can't be in a rule; those of all rows add nothing to one
+    single = whole.select(F.explode("tokens").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("all")).where(F.col("all") >= min_support * n)
+    single = checkpoint(single.where(F.col("all") < n) if min_lift > 1 else single)
+    few = F.broadcast(single) if single.count() <= BROADCAST_ROWS else single
+    kept = whole.withColumn("id", F.monotonically_increasing_id()).select("id", "label", "n", F.explode("tokens").alias("token")).join(few, "token")
+    items = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("all")).alias("r"), "token"))), lambda x: x["token"])
+    sets = kept.groupBy("id", "label", "n").agg(items.alias("items")).groupBy("items", "label").agg(F.sum("n").alias("n"))
+    bases = sets.select("label", "n", "items", F.posexplode("items").alias("k", "token")).select("token", F.expr("slice(items, 1, k)").alias("before"), "label", "n")
+    bases = bases.groupBy("token", "before", "label").agg(F.sum("n").alias("n"))
+    rules = checkpoint(bases.groupBy("token").applyInArrow(_grow(of_label, n, min_support, min_confidence, min_lift, max_tokens), rule))
     # a rule goes where one with a part of its tokens predicts the same at least as surely
     subsets = F.transform(F.sequence(F.lit(1), F.expr("cast(pow(2, size(tokens)) as int) - 2")), lambda m: F.filter("tokens", lambda _, i: F.expr("1").cast("int") == F.pmod(F.floor(m / F.pow(F.lit(2), i)), F.lit(2))))
     larger = rules.where(F.size("tokens") > 1).select("tokens", "verdict", "confidence", F.explode(subsets).alias("part"))
     general = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("c"))
     spare = larger.join(general, ["part", "verdict"]).where("c >= confidence").select("tokens", "verdict").distinct()
     rules = rules.join(spare, ["tokens", "verdict"], "left_anti")
-    single = base.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), "all")
     rarest = rules.select("tokens", "verdict", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens", "verdict").agg(F.min_by("token", F.struct("all", "token")).alias("key"))
     return rules.join(rarest, ["tokens", "verdict"])
 
@@ -97,7 +140,8 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str,
 
     `labelled` has (url, label). `mined` is the deciding mined rule's tokens where one fits: that of
     the highest confidence, then support, then more tokens, then order. Null urls and those without
-    :// have an empty host and path and no host rule; rows that repeat an id are judged one by one.
+    :// have an empty host and path and no host rule; rows that repeat an id are judged one by one;
+    addresses of any length are read whole; an empty table gives no rows; extra columns are not read.
     """
     found = mine_rules(labelled.select(tokens_of(F.col("url")).alias("tokens"), "label"), **limits)
     url = F.col(url_col)
@@ -107,6 +151,7 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str,
     # what a mined rule says depends on the url alone, so open urls are asked once each
     open_ = rows.where("rule IS NULL AND url IS NOT NULL").select("url").distinct().withColumn("tokens", tokens_of(F.col("url")))
     index = checkpoint(found.select("key", F.col("tokens").alias("needs"), F.col("verdict").alias("says"), "confidence", "support"))
+    index = F.broadcast(index) if index.count() <= BROADCAST_ROWS else index
     met = open_.withColumn("key", F.explode("tokens")).join(index, "key").where(F.size(F.array_except("needs", "tokens")) == 0)
     best = F.max_by(F.struct("says", "needs"), F.struct("confidence", "support", F.size("needs"), "says", F.array_join("needs", " ")))
     judged = met.groupBy("url").agg(best.alias("best"))
