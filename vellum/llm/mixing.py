@@ -2,7 +2,8 @@
 
 Every source's words lie on one line per shard, documents in seeded order, and each line is cut
 into blocks of `block_words` words. The blocks that the whole mix holds go to sources by highest
-quotients target / (2 k + 1), a source's blocks to its shards in the same way, and a shard takes
+quotients target / (2 k + 1), a source's blocks to groups of its shards and a group's to its shards
+in the same way, so that no place sees more than some thousand of them, and a shard takes
 its quota as whole passes over its blocks plus a seeded choice among them for the rest. Only
 identifiers and sizes are shuffled; a large source has as many shards as its size asks for.
 """
@@ -25,6 +26,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
 BLOCK_WORDS = 64
 SHARD_WORDS = 1 << 19
+#: Shards of a source whose quotas are dealt in one place.
+GROUP_SHARDS = 4096
 SEED = 17
 
 
@@ -92,6 +95,12 @@ def _apportion_sources(block: int, shard_words: int, weights: tuple[float, ...])
     return run
 
 
+def _apportion_groups(part: pd.DataFrame) -> pd.DataFrame:
+    part = part.sort_values("group").reset_index(drop=True)
+    part["quota"] = sainte_lague(part["words"].to_numpy(np.float64), int(part["quota"].iloc[0]), REPEATS * part["blocks"].to_numpy(np.int64))
+    return part[["key", "group", "quota"]]
+
+
 def _apportion_shards(block: int, seed: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("shard").reset_index(drop=True)
@@ -99,7 +108,7 @@ def _apportion_shards(block: int, seed: int):
         quota = sainte_lague(part["shard_size"].to_numpy(np.float64), int(part["quota"].iloc[0]), REPEATS * n)
         at_least_one = np.maximum(n, 1)
         part["blocks"], part["passes"], part["rest"] = n, quota // at_least_one, quota % at_least_one
-        draw = np.random.default_rng([seed, len(part)]).integers(1, 2**31, (2, len(part)))
+        draw = np.random.default_rng([seed, len(part), int(part["group"].iloc[0])]).integers(1, 2**31, (2, len(part)))
         part["step"] = [_coprime(int(k), int(x)) for k, x in zip(at_least_one, draw[0])]
         part["shift"] = draw[1] % at_least_one
         return part[["key", "shard", "blocks", "passes", "rest", "step", "shift"]]
@@ -130,7 +139,11 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
     sources = F.broadcast(checkpoint(sources.coalesce(1)))  # one group, one file; texts aren't dealt by source
     shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "spread"), "shards")
     shards = sized.join(sources, "key").withColumn("shard", shard).groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
-    quotas = shards.groupBy("key").applyInPandas(_apportion_shards(block_words, seed), "key string, shard long, blocks long, passes long, rest long, step long, shift long")
+    shards = shards.withColumn("group", F.floor(F.col("shard") / GROUP_SHARDS))
+    groups = shards.groupBy("key", "group").agg(F.sum("shard_size").alias("words"), F.sum(F.ceil(F.col("shard_size") / block_words)).alias("blocks"), F.first("quota").alias("quota"))
+    groups = groups.groupBy("key").applyInPandas(_apportion_groups, "key string, group long, quota long")
+    shards = shards.drop("quota").join(groups, ["key", "group"])
+    quotas = shards.groupBy("key", "group").applyInPandas(_apportion_shards(block_words, seed), "key string, shard long, blocks long, passes long, rest long, step long, shift long")
     rows = _sized(docs, id_col, text_col, source_col, F.struct(*(docs[c] for c in docs.columns)).alias("row")) if whole else sized
     dealt = rows.join(sources, "key").withColumn("shard", shard).repartition("key", "shard")
     order = [F.xxhash64(F.lit(seed + 1), "doc_id", "spread"), F.col("doc_id"), F.col("size"), *([F.col("row").getField(text_col)] if whole else [])]
@@ -157,7 +170,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     (the row's place on its shard's line), blocks, passes, rest, step and shift: block b is taken
     passes + (1 if (step * b + shift) mod blocks < rest else 0) times. Null and empty texts have
     size zero and take nothing; null is a source of its own, last in order; rows that repeat an
-    id are rows of their own, rows without one are dealt by their text; an empty table gives none.
+    id are rows of their own, rows without one are dealt by their text; an empty table gives none;
+    texts of any length are counted whole; extra columns are not read. One row a source meets in one task.
     """
     placed, rows = _placed(docs, id_col, text_col, source_col, weights, block_words, shard_words, seed, False)
     return in_files(placed, rows).select("doc_id", "size", "source_size", "target", _taken(block_words).alias("taken"), *_SELECTION)
