@@ -10,7 +10,7 @@ one holds a bounded share of the pieces however many there are.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +25,14 @@ from vellum.session import checkpoint, small_batches
 
 CAPACITY = 2048
 GROUP_PIECES = 40_000
-#: Steps of the search for each underfull bin, and pieces in a bin up to which pairs of them are tried.
-STEPS, PAIRED = 24, 24
+#: Steps of the search for each underfull bin, on average over a group's bins.
+STEPS = 24
+
+
+def _pairs(sizes: Counter) -> list[tuple[int, int]]:
+    """The pairs of lengths in a bin, each once: however many pieces it has, few lengths are distinct."""
+    order = sorted(sizes, reverse=True)
+    return [(x, y) for i, x in enumerate(order) for y in order[i if sizes[x] > 1 else i + 1 :]]
 
 
 def _low(mask: int) -> int:
@@ -43,12 +49,12 @@ class _Bins:
         self.mask: dict[tuple[int, int], int] = defaultdict(int)  # (pieces taken, free) -> lengths there
 
     def _enter(self, b: int, add: bool) -> None:
-        f, sizes = self.free[b], sorted(s for s, _ in self.items[b])
+        f, sizes = self.free[b], Counter(s for s, _ in self.items[b])
         if not f or not sizes:
             return
         found = [(1, self.at[f], set(sizes))]
-        if 2 < len(sizes) <= PAIRED:
-            found.append((2, self.two[f], {x + y for i, x in enumerate(sizes) for y in sizes[i + 1 :]}))
+        if len(self.items[b]) > 2:
+            found.append((2, self.two[f], {x + y for x, y in _pairs(sizes)}))
         for k, index, lengths in found:
             for y in lengths:
                 if add:
@@ -133,9 +139,12 @@ def _search(state: _Bins) -> None:
         while moved and state.items[b] and steps > 0:
             moved = False
             own = sorted(state.items[b], reverse=True)
-            offers = [[x] for x in own]
-            if 2 <= len(own) <= PAIRED:
-                offers += sorted(([x, y] for i, x in enumerate(own) for y in own[i + 1 :]), key=lambda o: -o[0][0] - o[1][0])
+            by: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for x in own:
+                by[x[0]].append(x)
+            offers = [[same[0]] for same in by.values()]
+            pairs = _pairs(Counter({n: len(same) for n, same in by.items()}))
+            offers += sorted(([by[x][0], by[y][x == y]] for x, y in pairs), key=lambda o: -o[0][0] - o[1][0])
             for offer in offers:
                 steps -= 1
                 size = sum(n for n, _ in offer)
