@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.text import pieces as cut
@@ -30,6 +30,8 @@ from vellum.session import shared_dir, small_batches
 MAGIC = b"VSST0001"
 BLOCK_BYTES = 64 << 10
 RESTART = 16
+#: Bytes of text that a shard holds about.
+SHARD_BYTES = 32 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: index offset and size, filter offset and size, entries, tokens, crc32 of index and filter, magic
 FOOTER = struct.Struct(">QQQQQQI8s")
@@ -189,6 +191,13 @@ class Reader:
         return None
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with its scheme, as the session's default file system has it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -221,18 +230,23 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
     """Writes the texts' ids in ascending id order; the manifest has shard, path, entries, tokens, start.
 
     Null texts are empty, a null id comes first, rows that repeat an id stay side by side in the
-    order of their texts. Shards are ranges of ids; the manifest has one row for each.
+    order of their texts. Shards are ranges of ids (and of the texts' beginnings where many rows have
+    one id), as many as the bytes of all texts ask for; the manifest has one row for each. Texts of
+    any length are written whole, an empty table gives an empty manifest, extra columns are not read.
+    A `folder` must name its scheme, as a plain path would be each executor's own disk; without one
+    a new folder in the shared one is taken. Shards stay there until the caller removes them.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    folder = folder or f"{shared_dir(spark).rstrip('/')}/sst-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = "file://" + folder
+    if folder and "://" not in folder:
+        raise ValueError("name the folder with its scheme")
+    folder = folder or _qualified(spark, f"{shared_dir(spark).rstrip('/')}/sst-{uuid.uuid4().hex}")
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    shards = shards or 1 + int(size) // SHARD_BYTES
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = rows.repartitionByRange(shards, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     made = sorted(tuple(r) for r in dealt.mapInArrow(_write(folder, tokenizer, end_id), "shard long, path string, entries long, tokens long").collect())
     before, out = 0, []
     for shard, path, entries, tokens in made:
@@ -262,5 +276,4 @@ def _digest(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_digest(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every entry, read from the shards of a manifest."""
-    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path", "start").repartition(parts, "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "start").repartition(max(1, manifest.count()), "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
