@@ -23,6 +23,8 @@ from vellum.operators.graph import connected_components, local_forest
 from vellum.session import BYTES_PER_FILE, checkpoint, in_files, small_batches
 
 SEED = 42
+#: Fingerprints of a bucket that are compared in one place.
+BLOCK = 16_384
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -64,18 +66,21 @@ def _close(a: np.ndarray, b: np.ndarray, most: int, ida: np.ndarray, idb: np.nda
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _buckets(radius: int):
+def _buckets(radius: int, split: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches come sorted by key; a bucket is held whole, as distinct fingerprints."""
+        """Batches come sorted by their first column, the bucket or a cell of it; then key and fp."""
         rest: list[np.ndarray] = []
 
-        def solve(key, fp, rep, home):
+        def solve(cell, key, fp):
+            value = key.view(np.uint64) >> np.uint64(1)
+            half = np.where(key & 1 == 0, fp >> np.uint64(32), fp & np.uint64(0xFFFFFFFF))
+            home, at = value & np.uint64(0xFFFFFFFF) == half, fp.view(np.int64)
             out_a, out_b = [], []
-            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
             first, size = edge[:-1], np.diff(edge)
-            homes = np.add.reduceat(home.astype(np.int64), first) if len(key) else first
+            homes = np.add.reduceat(home.astype(np.int64), first) if len(cell) else first
             for i, n in zip(first[(size > 1) & (homes > 0)], size[(size > 1) & (homes > 0)]):
-                f, r, h = fp[i : i + n], rep[i : i + n], home[i : i + n]
+                f, r, h = fp[i : i + n], at[i : i + n], home[i : i + n]
                 for a, b in (_close(f[h], f[h], radius, r[h], r[h]), _close(f[~h], f[h], radius, r[~h], r[h])):
                     out_a.append(a)
                     out_b.append(b)
@@ -83,62 +88,69 @@ def _buckets(radius: int):
                 a, b = local_forest(np.concatenate(out_a), np.concatenate(out_b))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+        def columns(x):
+            return (x[0], x[1], x[2].view(np.uint64)) if split else (x[0], x[0], x[1].view(np.uint64))
+
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if rest:
                 now = [np.concatenate(x) for x in zip(rest, now)]
             if not len(now[0]):
                 continue
-            cut = int(np.searchsorted(now[0], now[0][-1], "left"))  # the last key may go on
+            cut = int(np.searchsorted(now[0], now[0][-1], "left"))  # the last bucket may go on
             if cut:
-                k, f, r, h = (x[:cut] for x in now)
-                yield from solve(k, f.view(np.uint64), r, h.astype(bool))
+                yield from solve(*columns([x[:cut] for x in now]))
             rest = [x[cut:] for x in now]
         if rest and len(rest[0]):
-            yield from solve(rest[0], rest[1].view(np.uint64), rest[2], rest[3].astype(bool))
+            yield from solve(*columns(rest))
 
     return run
 
 
-def ball_links(reps: DataFrame, radius: int = 3) -> DataFrame:
-    """Edges (a, b) that span the links among distinct fingerprints; `reps` is (fp, rep)."""
-    if radius != 3:
-        raise ValueError("the halves' ball of one bit covers a radius of exactly 3")
+def ball_links(prints: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that span the links among distinct fingerprints; `prints` is (fp).
+
+    A bucket of more than `block` fingerprints is cut into blocks, each pair of which is a cell of its own.
+    """
+    if not 0 <= radius <= 3:
+        raise ValueError("the halves' ball of one bit covers a radius of 3 at most")
     halves = F.explode(
         F.array(
             F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("fp", 32).cast("long").alias("half")),
             F.struct(F.lit(1).alias("side"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")),
         )
     )
-    side = reps.select("fp", "rep", halves.alias("h")).select("fp", "rep", "h.side", "h.half")
+    side = prints.select("fp", halves.alias("h")).select("fp", "h.side", "h.half")
     below = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.expr("half").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    probes = F.concat(
-        F.array(F.struct(F.col("half").alias("value"), F.lit(True).alias("home"))),
-        F.transform(F.filter(below, lambda bit: bit != 0), lambda bit: F.struct((F.col("half") - bit).alias("value"), F.lit(False).alias("home"))),
-    )
-    rows = side.select("fp", "rep", "side", F.explode(probes).alias("p")).select(
-        (F.col("p.value") * 2 + F.col("side")).alias("key"), "fp", "rep", F.col("p.home").alias("home")
-    )
-    dealt = rows.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_buckets(radius), "a long, b long")
-
-
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    values = F.concat(F.array("half"), F.transform(F.filter(below, lambda bit: bit != 0), lambda bit: F.col("half") - bit))
+    rows = side.select("fp", "side", F.explode(values).alias("value")).select((F.col("value") * 2 + F.col("side")).alias("key"), "fp")
+    large = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    out = "a long, b long"
+    if large.isEmpty():
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(radius, False), out)
+    plain = rows.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    mine = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
+    cells = rows.join(large, "key").select("key", "fp", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    cells = cells.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "key", "fp")
+    return plain.mapInArrow(_buckets(radius, False), out).union(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_buckets(radius, True), out))
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of `docs`.
 
     Null and empty texts have fingerprint zero and link like any other; rows that repeat an id
-    stay apart as rows and count as one node; a null id takes part under its fingerprint and
-    gets the least id of its component, null if that has none. Extra columns are not read.
+    stay apart as rows, each under its own fingerprint; a null id takes part under its fingerprint and
+    gets the least id of its component, null if that has none. Ids may be any long. Texts of any length
+    are read whole; an empty table gives no rows; extra columns are not read.
     """
     small_batches(docs.sparkSession)
-    prints = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long"))
+    prints = checkpoint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long"))
     rows = prints.count()
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    # a fingerprint that only null ids have is named by a number no id can share
-    reps = checkpoint(in_files(reps.withColumn("rep", F.coalesce("rep", F.lit(2**62) + F.shiftrightunsigned("fp", 3))), rows))
-    comps = connected_components(ball_links(reps, radius), about=rows)
-    known = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    known = known.withColumn("component_id", F.when(F.col("component") < 2**62, F.col("component")))
+    reps = checkpoint(in_files(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), rows))
+    ends = connected_components(ball_links(reps.select("fp"), radius, block), about=rows)
+    named = checkpoint(reps.join(ends.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = named.join(least, "component").select("fp", "component_id")
     return in_files(prints.join(known, "fp"), rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -146,7 +158,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """`docs` with one document of each near-duplicate group: that with the least id.
 
     Groups are chains of texts whose sets of five-word shingles are 0.8 alike or more
-    (`near.jaccard_components`); 64 bits are too few to find these, so op6's groups aren't used.
+    (`near.jaccard_components`): the balls around fingerprints of these shingles bring the nearest
+    together, and as 64 bits are too few for the rest, a search that loses no pair follows.
     Rows with a null id can't be named in a group and stay; rows that repeat an id are one document.
     """
     from vellum.llm.near import jaccard_components
