@@ -404,5 +404,5 @@ def test_proximity_of_all_documents(spark, tmp_path):
                     (ax, ay), (bx, by) = boxes[a], boxes[b]
                     if root[b] < root[a] and math.hypot(max(0, abs(ax - bx) - 20), max(0, abs(ay - by) - 10)) <= 14:
                         root[a], changed = root[b], True
-    got = {r["id"]: r["component"] for r in QUERIES["proximity_components_whole"](spark, str(tmp_path)).collect()}
+    got = {r["id"]: r["component"] for r in QUERIES["proximity_components"](spark, str(tmp_path)).collect()}
     assert got == root

@@ -86,7 +86,7 @@ def persistent_members(df: DataFrame, key: str, page: str, pages: int, least: in
 
 
 def adjacent_cover(df: DataFrame, stream: Sequence[str], order: Sequence[str], rect: str = "rect", colour: str = "colour") -> DataFrame:
-    """Fills that a neighbour of the same colour covers, before or after."""
+    """Fills that the next one covers, whatever its colour, or the one before in the same colour."""
     from vellum.functions.scalars import contains
 
     w = Window.partitionBy(*stream).orderBy(*order)

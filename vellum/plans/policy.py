@@ -27,13 +27,13 @@ def policy_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "allow_list_projection",
+    "query_keys",
     """
 SELECT page_id, len(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND string_split(x, '=')[1] NOT IN ('ref', 'utm_source'))) AS kept,
   len(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND string_split(x, '=')[1] IN ('ref', 'utm_source'))) AS dropped FROM pages
 """,
 )
-def allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.nullif(F.regexp_extract("url", r"\?([^#]*)", 1), F.lit(""))
     pages = read_table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.str_to_map(text, F.lit("&"), F.lit("=")), F.create_map().cast("map<string,string>")).alias("keys"))
     kept = drop_keys(pages, "keys", ["ref", "utm_source"])
@@ -77,42 +77,6 @@ def label_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_with_overrides(read_table(spark, sf_dir, "documents").select("doc_id"), own, over, "doc_id").select("doc_id", "label")
 
 
-#: Kinds of personal data and secrets and the patterns that find them, alike in both dialects.
-PRIVATE = {
-    "mail-address": r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+",
-    "telephone": r"\+[0-9]+ \([0-9]{3}\) [0-9]{3}-[0-9]{4}",
-    "ip-address": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
-    "secret": r"token = \"[0-9a-f]+\"",
-    "card-number": r"\b[0-9]{16}\b",
-}
-
-
-@query(
-    "privacy_scrub",
-    "\nUNION ALL\n".join(
-        f"SELECT '{k}' AS label, CAST(SUM(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS removed, COUNT(*) FILTER (regexp_matches(text, '{p}')) AS documents, CAST(SUM(length(text) - length(regexp_replace(text, '{p}', '', 'g'))) AS BIGINT) AS characters FROM documents"
-        for k, p in PRIVATE.items()
-    ),
-)
-def privacy_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each rule would remove, in one pass over the texts."""
-    docs = read_table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    parts = []
-    for k, p in PRIVATE.items():
-        n, cut = F.regexp_count("text", F.lit(p)), F.length("text") - F.length(F.regexp_replace("text", p, ""))
-        parts.append(F.struct(F.sum(n).cast("long").alias("removed"), F.count_if(n > 0).alias("documents"), F.sum(cut).cast("long").alias("characters")).alias(k))
-    one = docs.agg(*parts)
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.col(f"`{k}`.removed").alias("removed"), F.col(f"`{k}`.documents").alias("documents"), F.col(f"`{k}`.characters").alias("characters")) for k in PRIVATE]))
-    return one.select(rows.alias("r")).select("r.*")
-
-
-@query("text_normalize", "SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ', chr(10), 'g') = text AS unchanged, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS chars FROM documents")
-def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical normalisation: one token a line."""
-    one = F.trim(F.regexp_replace("text", r"\s+", " "))
-    return read_table(spark, sf_dir, "documents").select("doc_id", (F.replace(one, F.lit(" "), F.lit("\n")) == F.col("text")).alias("unchanged"), F.length(one).cast("long").alias("chars"))
-
-
 @query("image_prefilter", "SELECT p_partkey, p_size, CAST(floor(p_retailprice) AS BIGINT) AS h FROM part WHERE p_size * 10 > 128 AND CAST(floor(p_retailprice) AS BIGINT) > 128 AND p_size * 10 * CAST(floor(p_retailprice) AS BIGINT) > 16384")
 def image_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size", F.floor("p_retailprice").alias("h"))

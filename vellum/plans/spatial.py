@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.scalars import rect
 from vellum.operators.graph import connected_components, fan_out, inherited, reachable, shared_prefixes, unreachable
-from vellum.operators.spatial import first_later_cover, has_page_image, nearest_in_band, proximity_components, union_coverage
+from vellum.operators.spatial import first_later_cover, has_page_image, nearest_in_band, proximity_components
 from vellum.plans.registry import query
 from vellum.session import read_table
 
@@ -49,13 +49,6 @@ def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_in_band(customers, suppliers, "n", "c_custkey", "s_suppkey", ["at"], 120.0).withColumn("distance", F.round("distance", 6))
 
 
-@query("union_coverage")
-def covers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of each page that its large rectangles hold together."""
-    rows = _boxes(spark, sf_dir, True).withColumn("target", rect(F.lit(0), F.lit(0), F.lit(612), F.lit(792)))
-    return union_coverage(rows, ["page"], "rect", "target")
-
-
 @query(
     "components",
     """
@@ -76,19 +69,14 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "proximity_components",
     f"""
-WITH RECURSIVE b AS (SELECT * FROM {_SMALL} WHERE id < 600), e AS (SELECT t.id AS a, c.id AS b FROM b t JOIN b c ON t.page = c.page AND t.id <> c.id
+WITH RECURSIVE b AS (SELECT * FROM {_SMALL}), e AS MATERIALIZED (SELECT t.id AS a, c.id AS b FROM b t JOIN b c ON t.page = c.page AND t.id <> c.id
   AND sqrt(pow(greatest(t.x0 - c.x1, c.x0 - t.x1, 0), 2) + pow(greatest(t.y0 - c.y1, c.y0 - t.y1, 0), 2)) <= 14),
 r AS (SELECT id AS node, id AS root FROM b UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
 SELECT node AS id, MIN(root) AS component FROM r GROUP BY node
 """,
 )
 def near_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proximity_components(_boxes(spark, sf_dir, False).where("id < 600"), ["page"], "id", 14.0, 60.0)
-
-
-@query("proximity_components_whole")
-def near_boxes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As proximity_components, over the boxes of all documents; its recursive SQL is too slow for these."""
+    """Boxes of all documents within 14 points of one another."""
     return proximity_components(_boxes(spark, sf_dir, False), ["page"], "id", 14.0, 60.0)
 
 
