@@ -61,16 +61,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", about: in
     steps alternate, each a grouped minimum and a join, until the edges stand still (about the
     logarithm of the longest chain in rounds, however many these are). Edges with
     a null end are ignored, self loops only name their node. Every round is checkpointed. `about` may say
-    how many nodes there are at most, so that few don't go to many files.
+    about how many nodes or edges there are, so that few don't go to many files; those that fit one
+    task need no rounds, as its forest is whole.
     """
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna()
     # self loops only name their node; both kinds of rows come from one run over the edges
+    alone = about is not None and about < EDGES_PER_FILE
     if about is not None:  # a shuffle, as the edges' own making may need all its tasks
         pairs = pairs.repartition(1 + about // EDGES_PER_FILE)
     kept = checkpoint(pairs.mapInArrow(_forest, "a long, b long"))
     stars = kept.where("a <> b")
     now = seen = stars.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-    while now[0]:
+    while now[0] and not alone:
         # edges point from a node to a smaller one: the large star moves each to what its end points at
         ends = stars.groupBy(F.col("a").alias("end")).agg(F.min("b").alias("m"))
         if now[0] <= BROADCAST_EDGES:  # else a join, whose hubs the engine splits

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("corpus", "policy", "ordered", "spatial", "values", "adapter")
+MODULES = ("corpus", "policy", "ordered", "spatial", "values", "adapter", "passes")
 
 
 def load() -> None:

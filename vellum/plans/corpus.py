@@ -328,13 +328,3 @@ def budgeted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capped sample within a byte budget, rows too large for what is left being skipped."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", log2_bucket(F.octet_length("text")).alias("size_log2"), F.octet_length("text").cast("long").alias("size"))
     return budget_fold(shape_cap(docs, ["lang", "size_log2"], ["doc_id"]), ["doc_id"], "size", 64, 200_000, 20_000)
-
-
-@query(
-    "source_name_join",
-    "SELECT d.doc_id, COALESCE('label-' || CAST(l.quality AS VARCHAR), 'doc-' || CAST(d.doc_id AS VARCHAR)) AS name FROM documents d LEFT JOIN labels l USING (doc_id)",
-)
-def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id"), read_table(spark, sf_dir, "labels")
-    named = docs.join(labels, "doc_id", "left")
-    return named.select("doc_id", F.coalesce(F.concat(F.lit("label-"), F.col("quality").cast("string")), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("name"))

@@ -75,7 +75,7 @@ def _matrix(*values) -> F.Column:
     """
 WITH m AS (SELECT p_partkey, p_size AS s, CAST(p_partkey % 7 AS DOUBLE) AS k FROM part),
 t AS (SELECT *, 3 * (-(k + 1)) AS c1, 2 * 2 AS b1 FROM m)
-SELECT p_partkey, least(-3.0 * (k + 1) * s + 9, 9.0) AS x0, 4.0 + 1 AS y0, greatest(-3.0 * (k + 1) * s + 9, 9.0) AS x1, 4.0 * s + 1 + 4 AS y1,
+SELECT p_partkey, least(-3.0 * (k + 1) * s + 9, 9.0) AS x0, CAST(5 AS DOUBLE) AS y0, greatest(-3.0 * (k + 1) * s + 9, 9.0) AS x1, CAST(4 * s + 5 AS DOUBLE) AS y1,
   round(12 * 3 * (k + 1), 9) AS size, CAST(0 AS DOUBLE) AS turn FROM t
 """,
 )
@@ -108,7 +108,7 @@ def rect_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "polygons_and_colours",
     """
-SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END * (s_suppkey % 9 + 1) * 4.0 AS signed, (s_suppkey % 9 + 1) * 4.0 AS area, s_suppkey % 2 = 0 AS valid,
+SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END * (s_suppkey % 9 + 1) * CAST(4 AS DOUBLE) AS signed, (s_suppkey % 9 + 1) * CAST(4 AS DOUBLE) AS area, s_suppkey % 2 = 0 AS valid,
   CASE WHEN s_suppkey % 10 = 0 THEN FALSE ELSE 0.2126 * (s_suppkey % 10 / 10.0) + 0.7152 * (s_suppkey % 4 / 10.0) + 0.0722 * 0.5 <= 0.18 END AS dark FROM supplier
 """,
 )
@@ -216,7 +216,7 @@ def character_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "nation").select("n_nationkey", F.explode(found(body.cast("binary"))).alias("x")).select("n_nationkey", "x.code", "x.text")
 
 
-@query("glyph_widths", "SELECT n_nationkey, CAST(n_nationkey + i AS BIGINT) AS cid, CASE WHEN i < 2 THEN 500.0 + i ELSE 250.0 END AS width FROM nation, range(5) r(i)")
+@query("glyph_widths", "SELECT n_nationkey, CAST(n_nationkey + i AS BIGINT) AS cid, CAST(CASE WHEN i < 2 THEN 500 + i ELSE 250 END AS DOUBLE) AS width FROM nation, range(5) r(i)")
 def glyph_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Widths by glyph from a list and a run."""
     found = _per_value(lambda n: [{"cid": k, "width": w} for k, w in codecs.parse_cid_widths([n, [500, 501], n + 2, n + 4, 250, 9]).items()], "array<struct<cid:long,width:double>>")

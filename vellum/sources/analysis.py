@@ -41,6 +41,41 @@ def risks(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, kind string, count long, note string")
 
 
+# Dictionary keys that are a risk wherever they stand, and what is said of each.
+KEY_RISKS = {
+    "thumbnail": (("Thumb",), "a page's small picture is hidden content of its own"),
+    "automatic-action": (("AA", "OpenAction"), "actions that run by themselves"),
+    "hidden-layer": (("OCProperties",), "layers can hide content from the default view"),
+    "suspicious-hidden-text": (("ActualText",), "replacement text may differ from what is seen"),
+    "piece-info": (("PieceInfo",), "private data of an authoring program"),
+}
+
+
+def object_risks(objects: DataFrame) -> DataFrame:
+    """(doc_id, kind, count, note) of what dictionaries and streams hold; zero counts have no row."""
+    has = lambda *names: F.arrays_overlap("keys", F.array(*[F.lit(n) for n in names]))
+    both = F.array_contains("keys", "V") & F.array_contains("keys", "FT")
+    jpeg = (F.col("subtype") == "Image") & F.array_contains("filters", "DCTDecode")
+    rows = [F.struct(F.lit(k).alias("kind"), F.when(has(*names), 1).otherwise(0).alias("count"), F.lit(note).alias("note")) for k, (names, note) in KEY_RISKS.items()]
+    rows.append(F.struct(F.lit("form-value").alias("kind"), F.when(both, 1).otherwise(0).alias("count"), F.lit("a field holds a value").alias("note")))
+    rows.append(F.struct(F.lit("xmp-metadata").alias("kind"), F.when((F.col("type") == "stream") & (F.col("kind") == "Metadata"), 1).otherwise(0).alias("count"), F.lit("edit history, names, paths and tools").alias("note")))
+    rows.append(F.struct(F.lit("jpeg-metadata").alias("kind"), F.when(jpeg, marker_count("raw")).otherwise(0).cast("int").alias("count"), F.lit("markers of metadata in JPEG data").alias("note")))
+    found = objects.select("doc_id", F.explode(F.array(*rows)).alias("r")).select("doc_id", "r.*").where("count > 0")
+    return found.groupBy("doc_id", "kind").agg(F.sum("count").alias("count"), F.min("note").alias("note"))
+
+
+def marker_count(raw: str) -> F.Column:
+    """How many bytes FF stand before E1, ED or FE."""
+    return F.size(F.regexp_extract_all(F.decode(F.col(raw), "ISO-8859-1"), F.lit("(\u00ff)(?=[\u00e1\u00ed\u00fe])"), 0))
+
+
+def risk_summary(files: DataFrame) -> DataFrame:
+    """(path, kind, count, note): raw patterns and objects' risks of every file, zero counts left out."""
+    paths = files.select("path", F.sha2("content", 256).alias("doc_id"))
+    first = files.join(paths.groupBy("doc_id").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
+    return risks(files).union(object_risks(documents.scan_objects(first)).join(paths, "doc_id").select("path", "kind", "count", "note"))
+
+
 def _overlapping(data: bytes, needle: bytes) -> int:
     n, at = 0, data.find(needle)
     while at >= 0:

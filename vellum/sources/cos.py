@@ -275,7 +275,10 @@ def parse(data: bytes) -> Document:
 
 
 def references(value, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], Ref]]:
-    """(key path, target) of every reference in a value, keys in order."""
+    """(key path, target) of every reference in a value, keys in order.
+
+    What an array names ICCBased refers to has that name in its path, other items their place.
+    """
     if isinstance(value, Ref):
         yield path, value
     elif isinstance(value, Stream):
@@ -284,8 +287,9 @@ def references(value, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, .
         for key in sorted(value):
             yield from references(value[key], (*path, key))
     elif isinstance(value, list):
+        profile = bool(value) and value[0] == "ICCBased" and isinstance(value[0], Name)
         for i, item in enumerate(value):
-            yield from references(item, (*path, str(i)))
+            yield from references(item, (*path, "ICCBased" if profile else str(i)))
 
 
 @dataclass

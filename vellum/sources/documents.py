@@ -148,6 +148,23 @@ def scan_pages(files: DataFrame) -> DataFrame:
     return _scan(files, PAGES, _pages)
 
 
+FORMS = "doc_id string, num long, content binary, complete boolean"
+
+
+def _forms(doc: cos.Document) -> Iterator[tuple]:
+    for ref, value in sorted(doc.objects.items()):
+        if isinstance(value, cos.Stream) and doc.get(value.dict.get("Subtype")) == "Form":
+            try:
+                yield doc.sha256, ref.num, doc.decoded(value), True
+            except (ValueError, TypeError, IndexError):
+                yield doc.sha256, ref.num, b"", False
+
+
+def scan_forms(files: DataFrame) -> DataFrame:
+    """Decoded contents of form objects; one that can't be decoded is empty and not `complete`."""
+    return _scan(files, FORMS, _forms)
+
+
 def _operand(value) -> dict:
     number = float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
     return {"num": number, "name": str(value) if isinstance(value, cos.Name) else None, "str": value if isinstance(value, bytes) and not isinstance(value, cos.Operator) else None}

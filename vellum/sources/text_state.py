@@ -6,13 +6,14 @@ task; pages are independent rows and none is shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.codecs import parse_cid_widths
 from vellum.functions.scalars import area, coverage, intersects
 from vellum.operators.classify import COVERED, INVISIBLE_ALPHA, OPAQUE_ALPHA, PAGE_IMAGE, hidden_category, hidden_mechanism
 from vellum.sources import cos
@@ -22,7 +23,8 @@ UNIT: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 #: Events: texts and paints of a page with bounds in page space.
 EVENTS = (
     "doc_id string, page int, page_area double, ord long, event string, text binary, mode int, alpha double, layer_off boolean, actual_text binary, "
-    "crop struct<x0:double,y0:double,x1:double,y1:double>, clip struct<x0:double,y0:double,x1:double,y1:double>, rect struct<x0:double,y0:double,x1:double,y1:double>, kind string, dark boolean, opaque boolean, complete boolean"
+    "crop struct<x0:double,y0:double,x1:double,y1:double>, clip struct<x0:double,y0:double,x1:double,y1:double>, rect struct<x0:double,y0:double,x1:double,y1:double>, kind string, dark boolean, opaque boolean, complete boolean, "
+    "font long, num long, depth int, start long, end long, width double, height double"
 )
 
 
@@ -63,96 +65,180 @@ def _luminance(v: list[float]) -> float | None:
     return None
 
 
+class Font:
+    """A font's object number, bytes a code and widths in thousandths of an em."""
+
+    def __init__(self, doc: cos.Document, value) -> None:
+        own = doc.dictionary(value)
+        self.num = value.num if isinstance(value, cos.Ref) else None
+        self.wide = doc.get(own.get("Subtype")) == "Type0"
+        numbers = lambda items: [x for x in items if isinstance(x, (int, float, list))]
+        if self.wide:
+            below = doc.get(own.get("DescendantFonts"))
+            descendant = doc.dictionary(below[0]) if isinstance(below, list) and below else {}
+            runs = doc.get(descendant.get("W"))
+            self.widths = parse_cid_widths(numbers([doc.get(x) for x in runs])) if isinstance(runs, list) else {}
+            rest = doc.get(descendant.get("DW", 1000))
+            self.rest = float(rest) if isinstance(rest, (int, float)) else 1000.0
+        else:
+            listed, first = doc.get(own.get("Widths")), doc.get(own.get("FirstChar", 0))
+            listed = [doc.get(x) for x in listed] if isinstance(listed, list) and isinstance(first, int) else []
+            self.widths = {first + i: float(w) for i, w in enumerate(listed) if isinstance(w, (int, float))}
+            self.rest = 500.0
+
+    def codes(self, raw: bytes) -> list[int]:
+        return [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)] if self.wide else list(raw)
+
+    def em(self, raw: bytes) -> float:
+        return sum(self.widths.get(c, self.rest) for c in self.codes(raw)) / 1000.0
+
+
+def layer_hidden(doc: cos.Document, value, off: set[cos.Ref]) -> bool:
+    """Whether a group is off, or a membership dictionary's policy over its groups hides what it marks."""
+    own = doc.dictionary(value)
+    if doc.get(own.get("Type")) != "OCMD":
+        return isinstance(value, cos.Ref) and value in off
+    groups = own.get("OCGs")
+    groups = [groups] if isinstance(groups, cos.Ref) and not isinstance(doc.get(groups), list) else [g for g in doc.get(groups) or [] if isinstance(g, cos.Ref)]
+    states = [g not in off for g in groups]
+    if not states:
+        return False
+    policy = doc.get(own.get("P"))
+    visible = {"AllOn": all(states), "AnyOff": not all(states), "AllOff": not any(states)}.get(str(policy), any(states))
+    return not visible
+
+
 def page_events(doc: cos.Document, page: dict, off: set[cos.Ref]) -> tuple[list[dict], bool]:
-    """A page's texts and paints in order; text widths are estimated at half an em a byte."""
-    found, whole = cos.instructions(doc.content(page))
-    resources = doc.dictionary(page.get("Resources"))
-    states, properties, xobjects = (doc.dictionary(resources.get(k)) for k in ("ExtGState", "Properties", "XObject"))
-    s, stack, tm, line, path, marks, out, pending = State(), [], UNIT, UNIT, [], [], [], False
-
-    def emit(event: str, rect, **more) -> None:
-        out.append({"ord": len(out), "event": event, "rect": rect, "clip": s.clip, **more})
-
-    def show(raw: bytes) -> None:
-        nonlocal tm
-        width = len(raw) * 0.5 * s.size * s.scale
-        m = times((1, 0, 0, 1, 0, s.rise), times(tm, s.ctm))
-        flat = abs(m[0] * m[3] - m[1] * m[2]) < 1e-12 or s.size == 0
-        alpha = s.stroke_alpha if s.mode in (1, 5) else max(s.fill_alpha, s.stroke_alpha) if s.mode in (2, 6) else s.fill_alpha
-        actual = next((x["actual"] for x in reversed(marks) if x["actual"] is not None), None)
-        emit("text", None if flat else bounds(m, 0, 0, width, s.size), text=raw, mode=s.mode, alpha=alpha, layer_off=any(x["off"] for x in marks), actual_text=actual)
-        tm = times((1, 0, 0, 1, width, 0), tm)
-
-    for x in found:
-        op, args = x.op, x.operands
-        nums = [float(v) for v in args if isinstance(v, (int, float)) and not isinstance(v, bool)]
-        if op == "q":
-            stack.append(s)
-        elif op == "Q" and stack:
-            s = stack.pop()
-        elif op == "cm" and len(nums) == 6:
-            s = replace(s, ctm=times(tuple(nums), s.ctm))
-        elif op == "gs" and args:
-            g = doc.dictionary(states.get(str(args[0])))
-            num = lambda k, d: float(v) if isinstance(v := doc.get(g.get(k)), (int, float)) else d  # noqa: B023, E731
-            blend = doc.get(g.get("BM"))
-            s = replace(s, fill_alpha=num("ca", s.fill_alpha), stroke_alpha=num("CA", s.stroke_alpha), normal_blend=s.normal_blend if blend is None else blend in ("Normal", "Compatible"))
-        elif op in ("g", "rg", "k", "sc", "scn"):
-            s = replace(s, luminance=_luminance(nums) if op in ("g", "rg", "k") or nums else None)
-        elif op == "re" and len(nums) == 4:
-            path.append(bounds(s.ctm, nums[0], nums[1], nums[0] + nums[2], nums[1] + nums[3]))
-        elif op in ("m", "l", "c", "v", "y", "h"):
-            path.append(None)
-        elif op in ("W", "W*"):
-            pending = True
-        elif op in ("f", "F", "f*", "B", "B*", "b", "b*", "S", "s", "n"):
-            if op not in ("S", "s", "n"):
-                single = len(path) == 1 and path[0] is not None
-                opaque = single and s.fill_alpha >= OPAQUE_ALPHA and s.normal_blend
-                emit("fill", path[0] if single else None, kind="fill", dark=s.luminance is not None and s.luminance <= 0.18, opaque=opaque, alpha=s.fill_alpha)
-            if pending and len(path) == 1 and path[0]:
-                c = s.clip or path[0]
-                s = replace(s, clip=(max(c[0], path[0][0]), max(c[1], path[0][1]), min(c[2], path[0][2]), min(c[3], path[0][3])))
-            path, pending = [], False
-        elif op == "Do" and args:
-            target = doc.get(xobjects.get(str(args[0])))
-            if isinstance(target, cos.Stream) and target.dict.get("Subtype") == "Image":
-                masked = any(k in target.dict for k in ("SMask", "Mask", "ImageMask"))
-                emit("image", bounds(s.ctm, 0, 0, 1, 1), kind="image", dark=False, opaque=not masked and s.fill_alpha >= OPAQUE_ALPHA and s.normal_blend, alpha=s.fill_alpha)
-            elif isinstance(target, cos.Stream):
-                emit("form", None, kind="form", dark=False, opaque=False, alpha=s.fill_alpha)
-        elif op == "BT":
-            tm = line = UNIT
-        elif op == "Tf" and nums:
-            s = replace(s, size=nums[-1])
-        elif op == "Tr" and nums:
-            s = replace(s, mode=int(nums[0]))
-        elif op == "TL" and nums:
-            s = replace(s, leading=nums[0])
-        elif op == "Ts" and nums:
-            s = replace(s, rise=nums[0])
-        elif op == "Tz" and nums:
-            s = replace(s, scale=nums[0] / 100)
-        elif op in ("Td", "TD") and len(nums) == 2:
-            s = replace(s, leading=-nums[1]) if op == "TD" else s
-            tm = line = times((1, 0, 0, 1, nums[0], nums[1]), line)
-        elif op == "Tm" and len(nums) == 6:
-            tm = line = tuple(nums)
-        elif op == "T*":
-            tm = line = times((1, 0, 0, 1, 0, -s.leading), line)
-        elif op in ("Tj", "'", '"', "TJ"):
-            if op in ("'", '"'):
+    """A page's texts and paints in order, those of forms in their place, and whether all was read.
+
+    Widths are the fonts' own, else half an em a byte. A form that draws itself again is left out; one
+    that nests deeper than the interpreter reaches makes the page incomplete.
+    """
+    out: list[dict] = []
+    whole = True
+    marks: list[dict] = []
+    fonts: dict = {}
+
+    def emit(event: str, rect, s: State, depth: int, **more) -> None:
+        hidden = any(x["off"] for x in marks)
+        out.append({"ord": len(out), "event": event, "rect": rect, "clip": s.clip, "depth": depth, "layer_off": hidden, **more})
+
+    def run(content: bytes, resources: dict, s: State, path_of: tuple[cos.Ref, ...]) -> None:
+        nonlocal whole
+        found, read = cos.instructions(content)
+        whole = whole and read
+        states, properties, xobjects, named = (doc.dictionary(resources.get(k)) for k in ("ExtGState", "Properties", "XObject", "Font"))
+        depth, base = len(path_of), len(marks)
+        stack, tm, line, path, pending, font = [], UNIT, UNIT, [], False, None
+
+        def show(raw: bytes, at: cos.Instruction) -> None:
+            nonlocal tm
+            width = (font.em(raw) if font else len(raw) * 0.5) * s.size * s.scale
+            m = times((1, 0, 0, 1, 0, s.rise), times(tm, s.ctm))
+            flat = abs(m[0] * m[3] - m[1] * m[2]) < 1e-12 or s.size == 0
+            alpha = s.stroke_alpha if s.mode in (1, 5) else max(s.fill_alpha, s.stroke_alpha) if s.mode in (2, 6) else s.fill_alpha
+            actual = next((x["actual"] for x in reversed(marks) if x["actual"] is not None), None)
+            emit("text", None if flat else bounds(m, 0, 0, width, s.size), s, depth, text=raw, mode=s.mode, alpha=alpha, actual_text=actual, font=font.num if font else None, start=at.start, end=at.end)
+            tm = times((1, 0, 0, 1, width, 0), tm)
+
+        for x in found:
+            op, args = x.op, x.operands
+            nums = [float(v) for v in args if isinstance(v, (int, float)) and not isinstance(v, bool)]
+            if op == "q":
+                stack.append((s, font))
+            elif op == "Q" and stack:
+                s, font = stack.pop()
+            elif op == "cm" and len(nums) == 6:
+                s = replace(s, ctm=times(tuple(nums), s.ctm))
+            elif op == "gs" and args:
+                g = doc.dictionary(states.get(str(args[0])))
+                num = lambda k, d: float(v) if isinstance(v := doc.get(g.get(k)), (int, float)) else d  # noqa: B023, E731
+                blend = doc.get(g.get("BM"))
+                s = replace(s, fill_alpha=num("ca", s.fill_alpha), stroke_alpha=num("CA", s.stroke_alpha), normal_blend=s.normal_blend if blend is None else blend in ("Normal", "Compatible"))
+            elif op in ("g", "rg", "k", "sc", "scn"):
+                s = replace(s, luminance=_luminance(nums) if op in ("g", "rg", "k") or nums else None)
+            elif op == "re" and len(nums) == 4:
+                path.append(bounds(s.ctm, nums[0], nums[1], nums[0] + nums[2], nums[1] + nums[3]))
+            elif op in ("m", "l", "c", "v", "y", "h"):
+                path.append(None)
+            elif op in ("W", "W*"):
+                pending = True
+            elif op in ("f", "F", "f*", "B", "B*", "b", "b*", "S", "s", "n"):
+                if op not in ("S", "s", "n"):
+                    single = len(path) == 1 and path[0] is not None
+                    opaque = single and s.fill_alpha >= OPAQUE_ALPHA and s.normal_blend
+                    emit("fill", path[0] if single else None, s, depth, kind="fill", dark=s.luminance is not None and s.luminance <= 0.18, opaque=opaque, alpha=s.fill_alpha)
+                elif op != "n":
+                    emit("stroke", None, s, depth, kind="stroke", alpha=s.stroke_alpha)
+                if pending and len(path) == 1 and path[0]:
+                    c = s.clip or path[0]
+                    s = replace(s, clip=(max(c[0], path[0][0]), max(c[1], path[0][1]), min(c[2], path[0][2]), min(c[3], path[0][3])))
+                path, pending = [], False
+            elif op == "sh":
+                emit("shade", None, s, depth, kind="shade", alpha=s.fill_alpha)
+            elif op == "BI":
+                emit("inline-image", bounds(s.ctm, 0, 0, 1, 1), s, depth, kind="image", alpha=s.fill_alpha)
+            elif op == "Do" and args:
+                ref = xobjects.get(str(args[0]))
+                target = doc.get(ref)
+                num_of = ref.num if isinstance(ref, cos.Ref) else None
+                own = target.dict if isinstance(target, cos.Stream) else {}
+                marks.append({"off": layer_hidden(doc, own.get("OC"), off), "actual": None})
+                if doc.get(own.get("Subtype")) == "Image":
+                    masked = any(k in own for k in ("SMask", "Mask", "ImageMask"))
+                    emit("image", bounds(s.ctm, 0, 0, 1, 1), s, depth, kind="image", opaque=not masked and s.fill_alpha >= OPAQUE_ALPHA and s.normal_blend, alpha=s.fill_alpha, num=num_of, matrix=s.ctm)
+                elif doc.get(own.get("Subtype")) == "Form" and ref not in path_of:
+                    emit("form", None, s, depth, kind="form", alpha=s.fill_alpha, num=num_of)
+                    matrix = [doc.get(v) for v in doc.get(own.get("Matrix")) or []]
+                    matrix = tuple(map(float, matrix)) if len(matrix) == 6 and all(isinstance(v, (int, float)) for v in matrix) else UNIT
+                    inner = doc.dictionary(own.get("Resources")) if own.get("Resources") is not None else resources
+                    try:
+                        run(doc.decoded(target), inner, replace(s, ctm=times(matrix, s.ctm)), (*path_of, ref))
+                    except (ValueError, TypeError, IndexError, RecursionError):
+                        whole = False
+                else:
+                    emit("unknown", None, s, depth, kind="unknown", alpha=s.fill_alpha, num=num_of)
+                marks.pop()
+            elif op == "BT":
+                tm = line = UNIT
+            elif op == "Tf" and nums:
+                s = replace(s, size=nums[-1])
+                ref = named.get(str(args[0])) if isinstance(args[0], cos.Name) else None
+                key = ref if isinstance(ref, cos.Ref) else (path_of, str(args[0]))
+                if ref is not None and key not in fonts:
+                    fonts[key] = Font(doc, ref)
+                font = fonts.get(key)
+            elif op == "Tr" and nums:
+                s = replace(s, mode=int(nums[0]))
+            elif op == "TL" and nums:
+                s = replace(s, leading=nums[0])
+            elif op == "Ts" and nums:
+                s = replace(s, rise=nums[0])
+            elif op == "Tz" and nums:
+                s = replace(s, scale=nums[0] / 100)
+            elif op in ("Td", "TD") and len(nums) == 2:
+                s = replace(s, leading=-nums[1]) if op == "TD" else s
+                tm = line = times((1, 0, 0, 1, nums[0], nums[1]), line)
+            elif op == "Tm" and len(nums) == 6:
+                tm = line = tuple(nums)
+            elif op == "T*":
                 tm = line = times((1, 0, 0, 1, 0, -s.leading), line)
-            parts = args[0] if op == "TJ" and args and isinstance(args[0], list) else args
-            show(b"".join(v for v in parts if isinstance(v, bytes)))
-        elif op in ("BDC", "BMC"):
-            value = args[1] if len(args) > 1 else None
-            ref = properties.get(str(value)) if isinstance(value, cos.Name) else value
-            own = doc.dictionary(ref)
-            actual = doc.get(own.get("ActualText")) if own else None
-            marks.append({"off": isinstance(ref, cos.Ref) and ref in off, "actual": actual if isinstance(actual, bytes) else None})
-        elif op == "EMC" and marks:
-            marks.pop()
+            elif op in ("Tj", "'", '"', "TJ"):
+                if op in ("'", '"'):
+                    tm = line = times((1, 0, 0, 1, 0, -s.leading), line)
+                parts = args[0] if op == "TJ" and args and isinstance(args[0], list) else args
+                show(b"".join(v for v in parts if isinstance(v, bytes)), x)
+            elif op in ("BDC", "BMC"):
+                value = args[1] if len(args) > 1 else None
+                ref = properties.get(str(value)) if isinstance(value, cos.Name) else value
+                own = doc.dictionary(ref)
+                actual = doc.get(own.get("ActualText")) if own else None
+                marks.append({"off": layer_hidden(doc, ref, off), "actual": actual if isinstance(actual, bytes) else None})
+            elif op == "EMC" and len(marks) > base:
+                marks.pop()
+        del marks[base:]
+
+    run(doc.content(page), doc.dictionary(page.get("Resources")), State(), ())
     return out, whole
 
 
@@ -185,13 +271,67 @@ def scan_events(files: DataFrame) -> DataFrame:
                 yield (
                     doc.sha256, i, (box[2] - box[0]) * (box[3] - box[1]), e["ord"], e["event"], e.get("text"), e.get("mode"), e.get("alpha"), e.get("layer_off", False), e.get("actual_text"),
                     shape(box), shape(e["clip"]), shape(e["rect"]), e.get("kind"), e.get("dark", False), e.get("opaque", False), whole,
+                    e.get("font"), e.get("num"), e.get("depth", 0), e.get("start"), e.get("end"), *_sides(e.get("matrix")),
                 )
 
     return _scan(files, EVENTS, each)
 
 
+def _sides(m: Matrix | None) -> tuple[float | None, float | None]:
+    """The lengths of a placed unit square's sides."""
+    return (None, None) if m is None else (math.hypot(m[0], m[1]), math.hypot(m[2], m[3]))
+
+
+def placements(events: DataFrame) -> DataFrame:
+    """(doc_id, num, uses, width, height, pages, complete): every image's placements, in forms too.
+
+    Width and height are the largest in points; an image on a page that can't be read whole is incomplete.
+    """
+    images = events.where("event = 'image' AND num IS NOT NULL")
+    return images.groupBy("doc_id", "num").agg(F.count("*").alias("uses"), F.max("width").alias("width"), F.max("height").alias("height"), F.count_distinct("page").alias("pages"), F.bool_and("complete").alias("complete"))
+
+
+def direct_bindings(events: DataFrame) -> DataFrame:
+    """(doc_id, page, num): images that a page draws itself, not through a form."""
+    return events.where("event = 'image' AND num IS NOT NULL AND depth = 0").select("doc_id", "page", "num").distinct()
+
+
+def glyph_usage(events: DataFrame, wide: DataFrame | None = None) -> DataFrame:
+    """(doc_id, font, codes): the distinct codes that texts show in each font, in order.
+
+    `wide` (doc_id, font) lists fonts with codes of two bytes.
+    """
+    texts = events.where("event = 'text' AND font IS NOT NULL").select("doc_id", "font", "text")
+    two = F.lit(False)
+    if wide is not None:
+        texts, two = texts.join(wide.select("doc_id", "font").distinct().withColumn("_two", F.lit(True)), ["doc_id", "font"], "left"), F.coalesce("_two", F.lit(False))
+    step = F.when(two, 4).otherwise(2)
+    hexed = F.hex("text")
+    at = F.when(F.length(hexed) > 0, F.sequence(F.lit(1), F.length(hexed), step)).otherwise(F.array().cast("array<int>"))
+    codes = F.explode(F.transform(at, lambda i: F.conv(F.substring(hexed, i, step), 16, 10).cast("long"))).alias("code")
+    return texts.select("doc_id", "font", codes).distinct().groupBy("doc_id", "font").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+
+
+def page_facts(events: DataFrame) -> DataFrame:
+    """(doc_id, page, paints, coverage, visible_native, image_paints, unknown_paints, complete) of pages with events."""
+    from vellum.operators.spatial import union_coverage
+
+    paints = events.where("event NOT IN ('form', 'unreadable')")
+    seen = (F.col("alpha") > INVISIBLE_ALPHA) & ~F.coalesce("layer_off", F.lit(False))
+    native = F.col("event").isin("fill", "stroke", "shade") | ((F.col("event") == "text") & ~F.coalesce(F.col("mode").isin(3, 7), F.lit(False)))
+    image = F.col("event").isin("image", "inline-image")
+    per = events.groupBy("doc_id", "page").agg(
+        F.count_if(~F.col("event").isin("form", "unreadable")).alias("paints"), F.count_if(native & seen).alias("visible_native"), F.count_if(image & seen).alias("image_paints"),
+        F.count_if(F.col("event") == "unknown").alias("unknown_paints"), F.bool_and("complete").alias("complete"),
+    )
+    covered = union_coverage(paints.where(image & seen & F.col("rect").isNotNull()), ["doc_id", "page"], "rect", "crop")
+    return per.join(covered, ["doc_id", "page"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+
+
 def hidden_text(events: DataFrame) -> DataFrame:
-    """(doc_id, page, ord, text, mechanism, category, action, confidence) of texts that can't be seen.
+    """(doc_id, page, ord, text, mechanism, category, action, confidence, depth, start, end) of texts that can't be seen.
+
+    `start` and `end` are places in the page's content where `depth` is zero, else in the form's.
 
     A text is met only with later opaque paints and large images of its own page.
     """
@@ -207,4 +347,4 @@ def hidden_text(events: DataFrame) -> DataFrame:
     in_crop, in_clip = intersects(F.col("rect"), F.col("crop")), F.col("clip").isNull() | intersects(F.col("rect"), F.col("clip"))
     rows = rows.withColumn("mechanism", hidden_mechanism(F.col("mode"), F.col("alpha"), F.col("layer_off"), F.col("rect"), in_crop, in_clip, F.col("first.cover_kind")))
     found = hidden_category(F.col("mechanism"), F.col("actual_text"), F.coalesce("page_image", F.lit(False)), F.coalesce("invisible", F.lit(0)), F.col("first.cover_dark"), area(F.col("first.cover")) / F.col("page_area"))
-    return rows.where("mechanism IS NOT NULL").withColumn("c", found).select(*page, "ord", "text", "mechanism", "c.category", "c.action", "c.confidence")
+    return rows.where("mechanism IS NOT NULL").withColumn("c", found).select(*page, "ord", "text", "mechanism", "c.category", "c.action", "c.confidence", "depth", "start", "end")
