@@ -104,8 +104,12 @@ SELECT doc_id, COUNT(*) AS lines, COUNT(DISTINCT line) AS distinct_lines FROM l
 """,
 )
 def canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_distinct("line").alias("distinct_lines"))
+    """Lines of a document that are told apart, the others being redirected to their first."""
+    lines = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.select(F.struct("doc_id", "at").alias("key"), F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "line"), 256).alias("fp"))
+    moved = redirects(lines, "key", "fp").groupBy("key.doc_id").agg(F.count("*").alias("moved"))
+    whole = lines.groupBy("key.doc_id").agg(F.count("*").alias("lines")).join(moved, "doc_id", "left")
+    return whole.select("doc_id", "lines", (F.col("lines") - F.coalesce("moved", F.lit(0))).alias("distinct_lines"))
 
 
 @query(

@@ -93,8 +93,8 @@ WHERE support >= 3 AND (support = n OR (support = n - 1 AND first <> (SELECT MIN
 """,
 )
 def persistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read_table(spark, sf_dir, "events").select("user_id", "event_type")
-    kinds = sorted(r[0] for r in events.distinct().select("event_type").distinct().collect())
+    events = read_table(spark, sf_dir, "events").where("event_type IS NOT NULL").select("user_id", "event_type")
+    kinds = sorted(r[0] for r in events.select("event_type").distinct().collect())  # the pages, a handful
     page = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("event_type")) - 1
     return persistent_members(events.withColumn("page", page), "user_id", "page", len(kinds))
 
