@@ -220,6 +220,27 @@ def repeated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.summaries(twice).agg(F.count("*").alias("files"), F.sum("pages").alias("pages"), F.sum("hidden_text_findings").alias("hidden"))
 
 
+def _inline_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    name, ref = cos.Name, cos.Ref
+    short, long_ = b"BI /W 2 /H 1 /BPC 8 /CS /G /F /AHx ID %02X%02X> EI ", b"BI /Height 1 /Width 2 /ColorSpace /DeviceGray /Filter /ASCIIHexDecode /BitsPerComponent 8 ID %02X%02X> EI "
+    for batch in batches:
+        made, ids = [], batch.column(0).to_pylist()
+        for d in ids:
+            pair = (d % 5, d % 3)
+            content = (short if d % 2 else long_) % pair + long_ % (255, d % 3)
+            objects = {ref(1): {"Type": name("Catalog"), "Pages": ref(2)}, ref(2): {"Type": name("Pages"), "Kids": [ref(3)], "Count": 1}, ref(3): {"Type": name("Page"), "Parent": ref(2), "Contents": ref(4)}, ref(4): cos.Stream({"Key": d}, content)}
+            made.append(cos.write(cos.Document(objects, {"Root": ref(1)}, "", 0)))
+        yield pa.RecordBatch.from_arrays([pa.array([f"{d}.pdf" for d in ids], pa.string()), pa.array(made, pa.binary())], ["path", "content"])
+
+
+@query("inline_images", f"SELECT images, CAST(COUNT(*) AS BIGINT) AS kinds FROM (SELECT COUNT(*) AS images FROM (SELECT doc_id % 5 AS a, doc_id % 3 AS b {_FROM} UNION ALL SELECT 255, doc_id % 3 {_FROM}) GROUP BY a, b) GROUP BY images")
+def inline_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline images that mean the same, shortened or not."""
+    docs = read_table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id").distinct()
+    found = documents.scan_inline_images(docs.mapInArrow(_inline_files, "path string, content binary"))
+    return found.groupBy("fingerprint").agg(F.count("*").alias("images")).groupBy("images").agg(F.count("*").alias("kinds"))
+
+
 # --- twins ---------------------------------------------------------------------------------------
 
 
@@ -375,6 +396,22 @@ def source_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(names, "file").groupBy("source").agg(F.count("*").alias("files"))
 
 
+@query("sidecar_labels", "SELECT p_brand AS glyph, CASE WHEN p_size > 45 THEN NULLIF('over' || CAST(p_size % 2 AS VARCHAR), 'over0') ELSE 'own' END AS label, COUNT(*) AS glyphs FROM part WHERE p_size % 10 <> 9 GROUP BY 1, 2")
+def sidecar_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels from a side file of JSON lines, those of one kind overridden, an empty text suppressing the label."""
+    from vellum.operators.policy import label_with_overrides
+
+    folder = f"{shared_dir(spark).rstrip('/')}/labels-{uuid.uuid4().hex}"
+    parts = read_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("glyph"), "p_brand", "p_size")
+    line = F.when(F.col("p_size") % 10 == 9, F.lit("[not a label")).otherwise(F.to_json(F.struct("glyph", F.lit("own").alias("text"), F.lit(1.5).alias("weight"))))
+    parts.select(line.alias("value")).write.text(folder)
+    labels = documents.sidecar(spark, folder, documents.GLYPH_LABELS).where("glyph IS NOT NULL")
+    over = parts.where("p_size > 45").select("glyph", F.when(F.col("p_size") % 2 == 0, "").otherwise("over1").alias("text"))
+    items = parts.join(labels.select("glyph"), "glyph")
+    found = label_with_overrides(items, labels.select("glyph", "text"), over, "glyph")
+    return found.groupBy(F.col("p_brand").alias("glyph"), "label").agg(F.count("*").alias("glyphs"))
+
+
 @query("report_sinks", "SELECT o_orderpriority AS kind, COUNT(*) AS samples, CAST(SUM(length(o_orderstatus || o_orderkey::VARCHAR)) AS BIGINT) AS bytes FROM orders GROUP BY 1")
 def report_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report and samples with their manifest, written and read again."""

@@ -192,6 +192,38 @@ def parse_content(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", "content").mapInArrow(run, kind)
 
 
+# What inline images may shorten, keys and then values.
+INLINE_KEYS = {"BPC": "BitsPerComponent", "CS": "ColorSpace", "D": "Decode", "DP": "DecodeParms", "F": "Filter", "H": "Height", "IM": "ImageMask", "I": "Interpolate", "W": "Width"}
+INLINE_VALUES = {"G": "DeviceGray", "RGB": "DeviceRGB", "CMYK": "DeviceCMYK", "I": "Indexed", "AHx": "ASCIIHexDecode", "A85": "ASCII85Decode", "LZW": "LZWDecode", "Fl": "FlateDecode", "RL": "RunLengthDecode", "CCF": "CCITTFaxDecode", "DCT": "DCTDecode"}
+INLINE = "doc_id string, page int, seq long, fingerprint string, size long, start long, end long"
+
+
+def inline_meaning(own: dict) -> dict:
+    """An inline image's entries with nothing shortened; names in other places than colour spaces and filters stay."""
+    full = lambda v: cos.Name(INLINE_VALUES.get(str(v), str(v))) if isinstance(v, cos.Name) else [full(x) for x in v] if isinstance(v, list) else v
+    out = {INLINE_KEYS.get(k, k): v for k, v in own.items()}
+    return {k: full(v) if k in ("ColorSpace", "Filter") else v for k, v in out.items() if k not in ("Length", "L")}
+
+
+def _inline(doc: cos.Document) -> Iterator[tuple]:
+    import hashlib
+
+    for i, (_, page) in enumerate(doc.pages()):
+        try:
+            found, _ = cos.instructions(doc.content(page))
+        except (ValueError, TypeError, IndexError):
+            continue  # the page's scan says that it can't be read
+        for seq, x in enumerate(found):
+            if x.op == "BI" and len(x.operands) == 2:
+                head = cos.serialise(inline_meaning(x.operands[0]))
+                yield doc.sha256, i, seq, hashlib.sha256(len(head).to_bytes(8, "big") + head + x.operands[1]).hexdigest(), len(x.operands[1]), x.start, x.end
+
+
+def scan_inline_images(files: DataFrame) -> DataFrame:
+    """Inline images with a digest of what they mean: equal however their entries are shortened or ordered."""
+    return _scan(files, INLINE, _inline)
+
+
 def scan_failures(files: DataFrame) -> DataFrame:
     """(path, error) of documents that can't be read, or not to their end by some scan: no document,
     damaged or encrypted."""
@@ -224,6 +256,18 @@ def side_names(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("file string, source string").option("mode", "DROPMALFORMED").json(path).where("file IS NOT NULL").dropDuplicates(["file"])
 
 
+LINES = "page int, line int, text string, confidence double, reviewed boolean, quad array<double>"
+GLYPH_LABELS = "glyph string, text string, weight double"
+
+
+def sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSON-lines file beside the documents, such as recognised LINES or GLYPH_LABELS.
+
+    Malformed lines, and lines with a value of another kind, are left out.
+    """
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
 def decode(streams: DataFrame, raw: str = "raw", filters: str = "filters") -> DataFrame:
     """`streams` with `decoded`, null where a filter is unsupported or the data are damaged, and `decode_error`."""
     def undo(data, names):
