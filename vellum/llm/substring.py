@@ -9,7 +9,8 @@ tree). The steps:
    those that several units share; all others hold no repeat beyond their unit;
 2. each unit sends the suffixes below shared prefixes, as text, to the group of their prefix. A
    prefix that more than `crowded` units share is lengthened to the whole window, so that variable-
-   length prefixes keep every group of suffixes within memory;
+   length prefixes keep every group of suffixes within memory; windows of such a crowd first meet in
+   ranges of `crowded` units, each of which sends only its earliest on;
 3. each group builds its subtree top down, splitting nodes by the words that follow and dropping
    those with one leaf; the deep internal nodes, `window` words and more below the root, are the
    repeats, of which every leaf but the earliest is reported to its unit;
@@ -33,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from vellum.llm.text import Sequences, release_memory, text_bytes, word_hashes, words
-from vellum.session import BYTES_PER_FILE, in_files, small_batches
+from vellum.session import BYTES_PER_FILE, checkpoint, in_files, small_batches
 
 WINDOW, PREFIX = 20, 8
 UNIT_BYTES = 2 << 20
@@ -117,7 +118,7 @@ _HEAD = struct.Struct("<qq")
 
 
 def _suffixes(window: int, prefix: int, buckets: int, docs: pa.Table, shared: pa.Table) -> pa.Table:
-    schema = pa.schema([("bucket", pa.int64()), ("unit", pa.int64()), ("suffixes", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("unit", pa.int64()), ("suffixes", pa.binary()), ("crowded", pa.bool_())])
     if not docs.num_rows or not shared.num_rows:
         return schema.empty_table()
     unit = Unit(docs, window, prefix)
@@ -136,8 +137,8 @@ def _suffixes(window: int, prefix: int, buckets: int, docs: pa.Table, shared: pa
     w = at[head]
     key = np.where(own[head], unit.names[live][head], unit.key[live][head])
     bucket = (key % np.uint64(buckets)).astype(np.int64)
-    row = unit.row[w]
-    order, edge = _by_bucket(bucket)
+    row, crowded = unit.row[w], own[head]
+    order, edge = _by_bucket(bucket * 2 + crowded)
     whole, zip_ = unit.raw.tobytes(), zstandard.ZstdCompressor(level=1)
     left, right = unit.start[w], unit.end[w + count + window - 2]
     blobs = []
@@ -147,7 +148,7 @@ def _suffixes(window: int, prefix: int, buckets: int, docs: pa.Table, shared: pa
         columns = np.stack([unit.ids[row[o]], row[o], w[o] - unit.first[row[o]], count[o], right[o] - left[o]]).astype(np.int64)
         blobs.append(zip_.compress(_HEAD.pack(len(o), 0) + columns.tobytes() + b"".join(texts)))
     g = docs.column("_unit")[0].as_py()
-    return pa.table({"bucket": pa.array(bucket[order][edge[:-1]], pa.int64()), "unit": pa.array([g] * len(blobs), pa.int64()), "suffixes": pa.array(blobs, pa.binary())})
+    return pa.table({"bucket": pa.array(bucket[order][edge[:-1]], pa.int64()), "unit": pa.array([g] * len(blobs), pa.int64()), "suffixes": pa.array(blobs, pa.binary()), "crowded": pa.array(crowded[order][edge[:-1]], pa.bool_())})
 
 
 def deep_nodes(sequence: Sequences, at: np.ndarray, depth: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,8 +170,9 @@ def deep_nodes(sequence: Sequences, at: np.ndarray, depth: int, stride: int) ->
     return live, node
 
 
-def _trees(window: int, prefix: int, table: pa.Table) -> pa.Table:
-    """A group's subtree; of every deep internal node all leaves but the earliest, by unit."""
+def _leaves(window: int, table: pa.Table) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """A group's suffixes (columns, units, texts) and, of every deep internal node of its subtree, all
+    leaves but the earliest: each one's suffix and place."""
     columns, texts, units = [], [], []
     for g, blob in zip(table.column("unit").to_pylist(), table.column("suffixes").to_pylist()):
         plain = zstandard.ZstdDecompressor().decompress(blob)
@@ -178,27 +180,63 @@ def _trees(window: int, prefix: int, table: pa.Table) -> pa.Table:
         columns.append(np.frombuffer(plain, np.int64, 5 * n, _HEAD.size).reshape(5, n))
         texts.append(plain[_HEAD.size + 40 * n :])
         units.append(np.full(n, g, np.int64))
-    ids, row, begin, count, size = np.concatenate(columns, axis=1)
-    unit = np.concatenate(units)
-    raw = np.frombuffer(b"".join(texts), np.uint8)
+    held, whole, unit = np.concatenate(columns, axis=1), b"".join(texts), np.concatenate(units)
+    ids, row, begin, count, size = held
+    raw = np.frombuffer(whole, np.uint8)
     start, end, first = words(raw, np.r_[0, np.cumsum(size)])
     sequence = Sequences(word_hashes(raw, start, end))
     of = np.repeat(np.arange(len(count)), count)
     step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    leaf, node = deep_nodes(sequence, first[of] + step, window, prefix)
+    leaf, node = deep_nodes(sequence, first[of] + step, window, PREFIX)
     owner, place = of[leaf], begin[of[leaf]] + step[leaf]
     order = np.lexsort((place, row[owner], unit[owner], ids[owner], node))
     later = order[1:][node[order][1:] == node[order][:-1]]
-    by_unit, edge = _by_bucket(unit[owner[later]])
-    later = later[by_unit]
-    release_memory()
+    return held, unit, whole, owner[later], place[later]
+
+
+_FOUND = pa.schema([("unit", pa.int64()), ("rows", pa.binary()), ("starts", pa.binary())])
+
+
+def _told(held: np.ndarray, unit: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.Table:
+    """Leaves by unit."""
+    by_unit, edge = _by_bucket(unit[owner])
+    owner, place = owner[by_unit], place[by_unit]
     out = {"unit": [], "rows": [], "starts": []}
     for a, b in zip(edge[:-1], edge[1:]):
-        x = later[a:b]
-        out["unit"].append(int(unit[owner[x[0]]]))
-        out["rows"].append(row[owner[x]].astype(np.uint32).tobytes())
-        out["starts"].append(place[x].astype(np.uint32).tobytes())
-    return pa.table(out, pa.schema([("unit", pa.int64()), ("rows", pa.binary()), ("starts", pa.binary())]))
+        out["unit"].append(int(unit[owner[a]]))
+        out["rows"].append(held[1][owner[a:b]].astype(np.uint32).tobytes())
+        out["starts"].append(place[a:b].astype(np.uint32).tobytes())
+    return pa.table(out, _FOUND)
+
+
+def _trees(window: int, table: pa.Table) -> pa.Table:
+    held, unit, _, owner, place = _leaves(window, table)
+    release_memory()
+    return _told(held, unit, owner, place)
+
+
+def _thinned(window: int, table: pa.Table) -> pa.Table:
+    """Whole windows that a range of units has, the earliest of each going on; the others are told."""
+    held, unit, whole, owner, place = _leaves(window, table)
+    told = _told(held, unit, owner, place)
+    stays = np.ones(len(unit), bool)
+    stays[owner] = False
+    stop = np.cumsum(held[4])
+    zip_, rows = zstandard.ZstdCompressor(level=1), {"unit": [], "suffixes": []}
+    for g in np.unique(unit[stays]):
+        own = np.flatnonzero(stays & (unit == g))
+        texts = b"".join(whole[stop[i] - held[4][i] : stop[i]] for i in own)
+        rows["unit"].append(int(g))
+        rows["suffixes"].append(zip_.compress(_HEAD.pack(len(own), 0) + held[:, own].tobytes() + texts))
+    bucket, n, m = table.column("bucket")[0].as_py(), len(rows["unit"]), told.num_rows
+    release_memory()
+    return pa.table({
+        "bucket": pa.array([bucket] * n + [None] * m, pa.int64()),
+        "unit": pa.concat_arrays([pa.array(rows["unit"], pa.int64()), told.column("unit").combine_chunks()]),
+        "suffixes": pa.array(rows["suffixes"] + [None] * m, pa.binary()),
+        "rows": pa.array([None] * n + told.column("rows").to_pylist(), pa.binary()),
+        "starts": pa.array([None] * n + told.column("starts").to_pylist(), pa.binary()),
+    })
 
 
 def _cut(window: int, prefix: int, rejoin: bool, schema: pa.Schema, docs: pa.Table, found: pa.Table) -> pa.Table:
@@ -244,7 +282,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in a row of a smaller id (null being the smallest; rows that repeat an id are ordered by their
     unit and text), or earlier in the row. Windows are judged on the input. `kept` is what stays,
     joined by single spaces (without `rejoin` a text that loses nothing stays as it is), `spans` the maximal stretches of words that went. Null texts have no
-    words. The columns of `docs` come back as _c<position>, so that no name can clash.
+    words; texts of any length are judged whole; an empty table gives no rows. The columns of `docs` come back as _c<position>, so that no name can clash.
     """
     small_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
@@ -256,8 +294,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = base.groupBy("_unit")
     keys = grouped.applyInArrow(lambda t: _prefixes(window, prefix, buckets, t), "bucket long, unit long, keys binary")
     shared = keys.groupBy("bucket").applyInArrow(lambda t: _shared(crowded, t), "unit long, few binary, many binary")
-    suffixes = grouped.cogroup(shared.groupBy("unit")).applyInArrow(lambda d, s: _suffixes(window, prefix, buckets, d, s), "bucket long, unit long, suffixes binary")
-    found = suffixes.groupBy("bucket").applyInArrow(lambda t: _trees(window, prefix, t), "unit long, rows binary, starts binary")
+    many = units > crowded  # else no prefix can be in so many units
+    shared = checkpoint(shared) if many else shared
+    suffixes = grouped.cogroup(shared.groupBy("unit")).applyInArrow(lambda d, s: _suffixes(window, prefix, buckets, d, s), "bucket long, unit long, suffixes binary, crowded boolean")
+    trees = lambda x: x.groupBy("bucket").applyInArrow(lambda t: _trees(window, t), "unit long, rows binary, starts binary")
+    if many and not shared.where(F.octet_length("many") > 0).isEmpty():
+        # what a crowd of units shares goes through ranges of units first, which send one of each window on
+        suffixes = checkpoint(suffixes)
+        ranges = suffixes.where("crowded").withColumn("range", F.floor(F.col("unit") / crowded))
+        thin = ranges.groupBy("bucket", "range").applyInArrow(lambda t: _thinned(window, t), "bucket long, unit long, suffixes binary, rows binary, starts binary")
+        thin = checkpoint(thin)
+        left = suffixes.where("NOT crowded").select("bucket", "unit", "suffixes").union(thin.where("suffixes IS NOT NULL").select("bucket", "unit", "suffixes"))
+        found = trees(left).union(thin.where("rows IS NOT NULL").select("unit", "rows", "starts"))
+    else:
+        found = trees(suffixes)
     out = StructType([f for f in base.schema if f.name in kept_columns])
     out = StructType(out.fields + StructType.fromDDL("n_words long, n_removed long, kept string, spans array<struct<begin:int,end:int>>").fields)
     schema = to_arrow_schema(out)
