@@ -120,7 +120,8 @@ def identify(rows: DataFrame, id_col: str, text: Column, declared: Column, host:
     `min_posterior`, or if its text has no letter; but a text with letters whose code of two or three
     letters is none of those told apart is then taken at its word, with that code and posterior zero,
     as nothing was learnt of it. Nulls in any evidence say nothing. Rows that repeat an id are judged one by one. Without any declared
-    language nothing can be learnt and all rows are unknown.
+    language nothing can be learnt and all rows are unknown. Texts of any length are read whole; an empty
+    table gives no rows; other columns are not read.
     """
     small_batches(rows.sparkSession)
     code = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
@@ -189,10 +190,18 @@ def _fuse(scored: DataFrame, languages: Sequence[str], min_posterior: float) ->
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", broadcast_rows: int = 20_000) -> DataFrame:
-    """`docs` without the documents that no language can be named for; a null id stays."""
-    found = identify(docs, id_col, F.col(text_col), F.col(declared_col), F.col(host_col))
-    gone = found.where("NOT accepted AND id IS NOT NULL").select(F.col("id").alias("_gone")).distinct()
+    """`docs` without the documents that no language can be named for.
+
+    Every row is judged by what it holds, whether its id is repeated, null or neither; equal rows stay or
+    go together. An empty table stays empty; other columns come back as they are, whatever their names.
+    """
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    rows = docs.withColumn(key, F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (id_col, text_col, declared_col, host_col))))
+    found = identify(rows, key, F.col(text_col), F.col(declared_col), F.col(host_col))
+    gone = found.where("NOT accepted").select(F.col("id").alias(key)).distinct()
     gone = checkpoint(in_files(gone, docs.count()))
     if gone.limit(broadcast_rows + 1).count() <= broadcast_rows:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return rows.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

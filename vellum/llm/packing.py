@@ -217,7 +217,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     """One row per piece with its place in a sequence of at most `capacity` tokens.
 
     Null and empty texts are one piece of the end id; rows that repeat an id are packed each for
-    itself; null ids are kept; an empty table gives no rows; other columns are not read.
+    itself; null ids are kept; texts of any length are cut into pieces; an empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
