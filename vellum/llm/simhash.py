@@ -124,10 +124,12 @@ def ball_links(prints: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFr
     below = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.expr("half").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     values = F.concat(F.array("half"), F.transform(F.filter(below, lambda bit: bit != 0), lambda bit: F.col("half") - bit))
     rows = side.select("fp", "side", F.explode(values).alias("value")).select((F.col("value") * 2 + F.col("side")).alias("key"), "fp")
-    large = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     out = "a long, b long"
-    if large.isEmpty():
+    # a bucket holds those of its own half and of 32 others at most, so few of a half make no large one
+    most = side.groupBy("side", "half").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if 33 * (most or 0) <= block:
         return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(radius, False), out)
+    large = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     plain = rows.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key")
     mine = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
     cells = rows.join(large, "key").select("key", "fp", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
