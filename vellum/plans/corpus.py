@@ -327,7 +327,16 @@ def global_shape_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_cap(docs, ["lang", "size_log2"], ["doc_id"])
 
 
-@query("budgeted_sample")
+@query(
+    "budgeted_sample",
+    """
+WITH RECURSIVE d AS (SELECT doc_id, lang, CAST(CASE WHEN strlen(text) >= 1 THEN length(bin(strlen(text))) - 1 ELSE 0 END AS INTEGER) AS size_log2, CAST(strlen(text) AS BIGINT) AS size FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY lang, size_log2 ORDER BY doc_id) AS k FROM d), o AS MATERIALIZED (SELECT doc_id, lang, size_log2, size, row_number() OVER (ORDER BY doc_id) AS n FROM c WHERE k <= 8),
+f AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS used, FALSE AS fits
+  UNION ALL SELECT o.n, held + CASE WHEN size <= 20000 AND held < 64 AND used + size <= 200000 THEN 1 ELSE 0 END, used + CASE WHEN size <= 20000 AND held < 64 AND used + size <= 200000 THEN size ELSE 0 END, size <= 20000 AND held < 64 AND used + size <= 200000 FROM f JOIN o ON o.n = f.n + 1)
+SELECT doc_id, lang, size_log2, size FROM f JOIN o USING (n) WHERE fits
+""",
+)
 def budgeted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capped sample within a byte budget, rows too large for what is left being skipped."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", log2_bucket(F.octet_length("text")).alias("size_log2"), F.octet_length("text").cast("long").alias("size"))
