@@ -137,8 +137,9 @@ def form_twins(objects: DataFrame, edges: DataFrame, ignored: Sequence[str] = ("
     graph = edges.select(_node("src").alias("src"), F.array_join("key_path", "/").alias("slot"), _node("dst").alias("dst"))
     entries = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, v: ~k.isin(*ignored) & ~F.coalesce(v.rlike(r"^\d+ \d+ R$"), F.lit(False)))
     body = F.concat_ws("|", "type", fingerprint(F.coalesce("raw", F.lit("").cast("binary")), entries), F.when(F.col("type") != "stream", F.regexp_replace("value", r"\d+ \d+ R", "ref")))
-    nodes = objects.withColumn("key", _node("num"))
-    same = fixed_point_canonical(nodes.select("key", body.alias("body")), graph.where(~F.col("slot").startswith("Parent")))
+    nodes, graph = objects.withColumn("key", _node("num")), graph.where(~F.col("slot").startswith("Parent"))
+    below = reachable(graph, nodes.where("subtype = 'Form'"), node="key")  # nothing else can tell forms apart
+    same = fixed_point_canonical(nodes.select("key", body.alias("body")).join(below.withColumnRenamed("node", "key"), "key", "left_semi"), graph.join(below.withColumnRenamed("node", "src"), "src", "left_semi"))
     # documents don't share objects: of a class the least form of the same document stands for it
     forms = nodes.where("subtype = 'Form'").select("doc_id", "num", "key").join(same, "key")
     w = Window.partitionBy("doc_id", "canonical")
