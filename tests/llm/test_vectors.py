@@ -71,6 +71,22 @@ def test_blocks_and_longer_codes_change_nothing(odd):
     assert vectors.cosine_groups(odd.where("vec_id < -1")).count() == 0
 
 
+def test_links_do_not_depend_on_the_size_of_the_table(spark, monkeypatch):
+    """Hard pairs in a table of any size: the same links, of which codes of more vertices lose some."""
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(1, keepdims=True) * a
+    b = 0.9801 * a + math.sqrt(1 - 0.9801**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>, label int")
+    links = lambda **more: {tuple(r) for r in vectors.cosine_groups(df, **more).collect()}
+    plain = links()
+    monkeypatch.setattr(vectors, "BUCKETED", 2)
+    assert links(block=16) == plain and sum(n for _, n, _, _ in plain) > 0.999 * 3000
+    assert links(hashes=7) != plain
+
+
 @pytest.mark.parametrize("hashes", [1, 2, 3])
 def test_recall_of_hashing(hashes):
     """The hardest pairs there are, at the default tables and probes, for the codes of any table's size."""

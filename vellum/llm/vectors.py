@@ -14,8 +14,11 @@ from vellum.session import checkpoint, in_files
 
 COSINE = 0.98
 TABLES, PROBES, SEED = 6, 2, 5
-#: Vectors of the search for each further vertex that a bucket's code is made of.
-BUCKETED = 1 << 20
+#: Vertices that a bucket's code is made of; more of them make smaller buckets and miss more links.
+HASHES = 1
+#: Vectors of the search above which a block is WIDER times larger: there are blocks enough for all
+#: tasks by then, and a vector goes to its bucket once for each block. Links are the same either way.
+BUCKETED, WIDER = 1 << 20, 8
 BLOCK = 1024
 VECTORS_PER_FILE = 20_000
 
@@ -116,8 +119,9 @@ def _verify(tables: int, cosine: float):
         table, code = part.column("table")[0].as_py(), part.column("code")[0].as_py()
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         a_out, b_out, node_out, n_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in range(0, len(left), 256):
-            own = left[i : i + 256]
+        step = max(1, (1 << 18) // max(1, len(right)))
+        for i in range(0, len(left), step):
+            own = left[i : i + step]
             p, q = np.nonzero(x[own] @ x[right].T >= cosine - 1e-9)
             p, q = own[p], right[q]
             # side 0 is one block with itself, 1 and 2 are two blocks of a pair
@@ -143,13 +147,15 @@ def _verify(tables: int, cosine: float):
     return run
 
 
-def cosine_groups(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def cosine_groups(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, seed: int = SEED, block: int = BLOCK, hashes: int = HASHES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     Rows link if their labels are equal and not null and their vectors' cosine, in doubles, is at
     least `cosine`. Equal vectors of a label are one node of the search with a weight. A bucket
     larger than `block` is cut into blocks whose pairs are separate tasks, and a pair counts only in
-    the first bucket in which it meets, so no pair is written out. Vectors that are null, empty,
+    the first bucket in which it meets, so no pair is written out. Codes are the same for tables of
+    any size: whether two vectors meet depends on the two alone, never on how many others there
+    are, so the work of a bucket grows with its square. Vectors that are null, empty,
     zero or hold null or non-finite components, and rows without a label or id, link with nothing.
     Rows that repeat an id are vectors of their own: each has the links of its own vector, and a
     component the least id of its vectors. An empty table gives no rows; extra columns are not read.
@@ -164,7 +170,7 @@ def cosine_groups(table: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     reps = checkpoint(in_files(reps, total, VECTORS_PER_FILE).withColumn("rep", F.monotonically_increasing_id()))
     nodes = reps.select("rep", "label", "vector", F.size("vector").alias("width"), "copies")
     searched = nodes.count()
-    hashes = 1 + sum(searched > BUCKETED * 64**k for k in range(7))
+    block *= WIDER if searched > BUCKETED else 1
     kinds = dict(rows.dtypes)
     bucket = ["label", "width", "table", "code"]
     spread = nodes.mapInArrow(_rows_of_buckets(tables, probes, seed, hashes), f"label {kinds['label']}, width int, table int, code long, home boolean, rep long, vector {kinds['vector']}, copies long, codes binary")
