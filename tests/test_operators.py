@@ -14,6 +14,21 @@ def rows(df, *names):
     return sorted(tuple(r) for r in df.select(*names).collect())
 
 
+# --- checkpoints ---------------------------------------------------------------------------------
+
+
+def test_checkpointed_rounds_of_joins_keep_a_small_size_estimate(spark):
+    """A join's estimate is the product of its sides'; over rounds its digits would fill the driver."""
+    from vellum.session import checkpoint
+
+    x = spark.createDataFrame([(i, i % 3) for i in range(6)], "k long, v long")
+    for _ in range(6):
+        x = checkpoint(x.join(x.select("k", F.col("v").alias("w")), "k").select("k", F.col("w").alias("v")))
+        assert x._jdf.queryExecution().logical().stats().sizeInBytes() < 1 << 63
+    assert rows(x, "k", "v") == [(i, i % 3) for i in range(6)]
+    assert rows(x.join(x.select("k", F.col("v").alias("w")), "k"), "v", "w") == sorted((i % 3, i % 3) for i in range(6))
+
+
 # --- duplicates ----------------------------------------------------------------------------------
 
 

@@ -41,7 +41,7 @@ LONG, LONG_BYTES, SHORT_BYTES = 512, 256, 64
 SMALL, CLASSES = 64, 8
 #: A pair is accepted on its parities where chance explains their likeness less often than e to this.
 CHANCE = -35.0
-#: Ends of pairs that are broadcast at most; more are joined by a shuffle.
+#: Ends of pairs whose texts' digests, eight bytes each, go to all tasks at most; more are joined by a shuffle.
 BROADCAST_ENDS = 1_000_000
 #: Text bytes of a range of keys, keys that a task holds, and sets of one key that it sends to the key's range.
 RANGE_BYTES, HELD, HOT = 16 << 20, 1 << 21, 64
@@ -313,23 +313,28 @@ def _spread(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.concatenate([planes, np.zeros((3, planes.shape[1]), np.uint8)]).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _evidence(shingle: int, whole: bool):
-    """(node, cells, n, names or parities) of texts that come with the name of their set, once from a task."""
+def _evidence(shingle: int, whole: bool, asked: np.ndarray | None):
+    """(node, n, names or parities) of texts that come with their digests, copies once from a task; all or those asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.empty(0, np.int64)
-        for batch in pieces(batches, 2, 1 << 20):
-            asked = batch.column(0).to_numpy()
-            new = np.zeros(len(asked), bool)
-            new[np.unique(asked, return_index=True)[1]] = True
-            batch = batch.filter(pa.array(new & ~np.isin(asked, seen)))
-            names, at = shingle_sets(batch.column(2), shingle)
+        seen = np.empty(0, np.uint64)
+
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch if asked is None else batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), asked)))
+
+        for batch in pieces(wanted(), 1, 1 << 20):
+            own = batch.column(0).to_numpy().view(np.uint64) ^ mix(np.diff(text_bytes(batch.column(1))[1]).astype(np.uint64))
+            new = np.zeros(len(own), bool)
+            new[np.unique(own, return_index=True)[1]] = True
+            new &= ~np.isin(own, seen)
+            seen = np.concatenate([seen, own[new]])
+            batch = batch.filter(pa.array(new))
+            names, at = shingle_sets(batch.column(1), shingle)
             n, node = np.diff(at), _set_names(names, at)
-            same = node == batch.column(0).to_numpy()  # another text may have the same digest
-            seen = np.concatenate([seen, node[same]])
             size = [1 << max(0, int(CLASSES * k - 1).bit_length() - 3) for k in n.tolist()]
             blobs = [_squeezed(names[p:q]) if whole else names[p:q].tobytes() if q - p <= SMALL else parities(names[p:q], s).tobytes() for p, q, s in zip(at[:-1], at[1:], size)]
-            yield pa.RecordBatch.from_arrays([pa.array(node), batch.column(1), pa.array(n), pa.array(blobs, pa.binary())], ["node", "cells", "n", "blob"]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(blobs, pa.binary())], ["node", "n", "blob"])
 
     return run
 
@@ -452,11 +457,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         two = ends.select(F.col("node").alias("b"), F.col("part").alias("j"))
         cell = F.when(F.col("parts") <= 1, common).otherwise(F.xxhash64("group", F.least("i", "j"), F.greatest("i", "j")))
         cells = checkpoint(some.join(one, "a").join(two, "b").select(cell.alias("cell"), "a", "b"))
-        asked = cells.select("cell", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.collect_set("cell").alias("cells"))
-        asked = checkpoint(ends.select("node", "t").join(asked, "node"))
-        made = text.join(F.broadcast(asked) if count <= BROADCAST_ENDS else asked, "t").select("node", "cells", "text")
-        made = made.mapInArrow(_evidence(shingle, whole), "node long, cells array<long>, n long, blob binary")
-        made = made.select(F.explode("cells").alias("place"), "node", "n", "blob")
+        # digests alone go to all tasks: a broadcast of rows would stand many times its size in the driver
+        few = ends.select("t").toArrow().column("t").to_numpy() if count <= BROADCAST_ENDS else None
+        some_text = text.select("t", "text") if few is not None else text.join(ends.select("t").distinct(), "t", "left_semi").select("t", "text")
+        made = some_text.mapInArrow(_evidence(shingle, whole, few), "node long, n long, blob binary")
+        # a text of another set that has an asked one's digest finds no cell
+        made = made.join(cells.select(F.col("cell").alias("place"), F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("place", "node", "n", "blob")
+        _forget(spark)
         return checkpoint(cells.groupBy("cell").cogroup(made.groupBy("place")).applyInArrow(_try(whole), "a long, b long, verdict long"))
 
     ids = every.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
@@ -470,6 +477,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         by_parity = tried(some, groups, False)
         _forget(spark)
         by_set = tried(by_parity.where("verdict = 2").select("a", "b"), groups, True)
+        _forget(spark)
         found = by_parity.union(by_set).where("verdict = 1").select("a", "b")
         links = checkpoint(links.union(found))
         labels = checkpoint(connected_components(links, about=rows))
