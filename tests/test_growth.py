@@ -1,8 +1,10 @@
 """Queries on tables whose size or shape the smallest tables don't have: results equal to SQL, work in many tasks."""
 
 import duckdb
+import numpy as np
 
 import __spark_entry__ as entry
+from vellum.operators import spatial
 
 
 def equals_sql(spark, name: str, folder, *tables: str) -> list[tuple]:
@@ -29,3 +31,21 @@ def test_tree_fanout_has_the_levels_of_its_sql(spark, tmp_path):
     spark.range(66_000).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
     got = equals_sql(spark, "tree_fanout", tmp_path, "orders")
     assert [r[0] for r in got if r[0] > 0] == [1, 1]  # a third level would be one node over these two
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bands_make_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    a, b = ([(int(k), i, float(x), float(y)) for i, (k, x, y) in enumerate(zip(rng.integers(0, 2, 300), rng.integers(-30, 30, 300) / 2, rng.integers(-30, 30, 300) / 2))] for _ in range(2))
+    left, right = (spark.createDataFrame(v, f"key int, {n} int, x double, y double") for v, n in ((a, "a"), (b, "b")))
+    for at in (["x"], ["x", "y"]):
+        got = spatial.nearest_in_band(left, right, "key", "a", "b", at, 1.5)
+        want = {}
+        for ka, i, *p in a:
+            near = [(sum(abs(u - v) for u, v in zip(p[: len(at)], q)), j) for kb, j, *q in b if ka == kb and all(abs(u - v) <= 1.5 for u, v in zip(p[: len(at)], q))]
+            want |= {i: min(near)} if near else {}
+        assert {r.a: (r.distance, r.b) for r in got.collect()} == want
+        assert "Join" not in plan_of(got)  # pairs of a joined band were sorted in one task
