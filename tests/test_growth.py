@@ -2,9 +2,14 @@
 
 import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from vellum.operators import spatial
+from vellum.operators import groups, inventory, spatial
+from vellum.plans import passes as plans
+from vellum.session import spread
+from vellum.sources import analysis, documents
 
 
 def equals_sql(spark, name: str, folder, *tables: str) -> list[tuple]:
@@ -49,3 +54,61 @@ def test_bands_make_no_pairs(spark):
             want |= {i: min(near)} if near else {}
         assert {r.a: (r.distance, r.b) for r in got.collect()} == want
         assert "Join" not in plan_of(got)  # pairs of a joined band were sorted in one task
+
+
+# --- folds of groups -----------------------------------------------------------------------------
+
+
+def test_groups_may_span_batches(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("g"), "id", F.when(F.col("id") % 10 == 3, None).otherwise(F.col("id")).alias("v"))
+    rows = rows.union(spark.createDataFrame([(None, 5, 5), (None, 4, 4)], "g long, id long, v long"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = groups.in_groups(rows, ["g"], ["v"], lambda c: [(c[0][0], len(c[1]), c[2][0], c[2][-1])], "g long, n long, first long, last long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(None, 2, 4, 5)] + [(g, len(range(g, 1000, 7)), min(i for i in range(g, 1000, 7) if i % 10 != 3), None) for g in range(7)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("name", ["merged_rectangles", "paint_runs", "occluded_paints", "recognised_lines", "event_page_class"])
+def test_no_frame_is_made_for_a_group(spark, data, name):
+    assert "InPandas" not in plan_of(entry.queries()[name](spark, data))
+
+
+def test_tables_are_dealt_by_their_rows(spark, data):
+    table = spark.range(1000)
+    assert spread(table, "id", rows=10).rdd.getNumPartitions() == 100 and spread(table, "id", rows=5000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    for name in ("image_crops", "bilevel_images", "dedup_runs", "stripe_runs"):
+        assert "REPARTITION_BY_NUM" in plan_of(entry.queries()[name](spark, data))
+
+
+# --- files ---------------------------------------------------------------------------------------
+
+
+def test_files_are_made_in_many_tasks(spark, data):
+    tasks = plans.files(spark, data).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1  # their numbers fit one task's share of bytes many times
+
+
+@pytest.mark.parametrize("name", ["edge_counts", "key_counts", "font_ownership", "incoming_owners", "exact_twins", "form_twins", "plain_streams"])
+def test_files_are_made_and_read_once(spark, data, name):
+    plan = plan_of(entry.queries()[name](spark, data))
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan
+
+
+def test_one_pass_finds_what_joins_find(spark, data):
+    made = plans.files(spark, data).where("path < '12'")
+    objects, edges = documents.scan_objects(made), documents.scan_edges(made)
+    named, rows = analysis.roles(objects, edges), lambda df: sorted(map(str, df.collect()))
+    columns = ("doc_id", "num", "type", "kind", "keys", "value", "raw", "stream_role", "role", "incoming")
+    one = analysis.scan_roles(made, columns)
+    assert rows(one.select("doc_id", "num", "stream_role", "role")) == rows(named.select("doc_id", "num", "stream_role", "role"))
+    assert rows(inventory.twins_of(inventory.with_targets(one))) == rows(inventory.exact_twins(named, inventory.dedup_targets(named, edges)))
+    assert rows(analysis.role_edges(made, ("source", "key", "target")).groupBy("source", "key", "target").agg(F.count("*").alias("edges"))) == rows(inventory.edge_counts(named, edges))
+    assert rows(inventory.programs_of(analysis.font_uses(made))) == rows(inventory.font_programs(objects, edges))
+    for ignored in (("Length",), ("Length", "LastModified")):
+        found = analysis.form_twins(made, {"x": ignored})
+        assert rows(found.select("doc_id", "num", "canonical")) == rows(inventory.form_twins(objects, edges, ignored))
+    reached = analysis.scan_roles(made, ("type", "subtype", "reached")).where("reached AND type = 'stream' AND subtype = 'Image'")
+    assert reached.count() == inventory.streams_with_subtype(objects, edges, "Image").count() > 0

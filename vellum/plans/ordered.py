@@ -9,7 +9,7 @@ from vellum.operators.aggregate import mode_of_deltas
 from vellum.operators.runs import batches, boundary_pairs, dead_duplicates, ordinal, persistent_members, prefix_runs, repeated_within, state_runs
 from vellum.operators.spatial import merged_length
 from vellum.plans.registry import query
-from vellum.session import read_table
+from vellum.session import read_table, spread
 
 
 @query(
@@ -33,7 +33,7 @@ SELECT l_orderkey, sha256(f) AS digest, CAST(island AS BIGINT) AS island, COUNT(
 """,
 )
 def dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    rows = spread(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "l_orderkey")
     return prefix_runs(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "l_returnflag", 2, 1, 1).drop("size")
 
 
