@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from vellum.functions.codecs import flate
 from vellum.functions.scalars import decode_text_string
 from vellum.operators.aggregate import content_density
-from vellum.operators.graph import unreachable
 from vellum.plans.registry import query
 from vellum.session import read_table
 from vellum.sources import analysis, cos, documents, text_state
@@ -67,8 +66,7 @@ _ROLES = ("dict:Catalog", "dict:Pages", "dict:Page", "dict:untyped", "stream:pag
 )
 def adapter_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects by structural role."""
-    made = files(spark, sf_dir)
-    return analysis.roles(documents.scan_objects(made), documents.scan_edges(made)).groupBy("role").agg(F.count("*").alias("objects"))
+    return analysis.scan_roles(files(spark, sf_dir), ("role",)).groupBy("role").agg(F.count("*").alias("objects"))
 
 
 @query(
@@ -94,12 +92,7 @@ def adapter_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("adapter_collectable", "SELECT COUNT(*) FILTER (doc_id % 2 = 0) * 2 AS objects FROM documents WHERE text IS NOT NULL")
 def adapter_collectable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects that no trailer reaches: only the packed files' own object and cross-reference streams."""
-    made = files(spark, sf_dir)
-    name = lambda c: F.concat_ws("#", "doc_id", F.col(c).cast("string"))
-    edges = documents.scan_edges(made).select(name("src").alias("src"), name("dst").alias("dst"))
-    nodes = documents.scan_objects(made).select(name("num").alias("node"))
-    roots = edges.where("src LIKE '%#0'").select(F.col("dst").alias("node"))
-    return unreachable(nodes, edges, roots).agg(F.count("*").alias("objects"))
+    return analysis.scan_roles(files(spark, sf_dir), ("reached",)).where("NOT reached").agg(F.count("*").alias("objects"))
 
 
 @query(
@@ -108,6 +101,6 @@ def adapter_collectable(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def adapter_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal content streams over the corpus."""
-    streams = analysis.roles(documents.scan_objects(made := files(spark, sf_dir)), documents.scan_edges(made)).where("stream_role = 'page-content'")
+    streams = analysis.scan_roles(files(spark, sf_dir), ("stream_role", "data_sha256")).where("stream_role = 'page-content'")
     groups = streams.groupBy("data_sha256").agg(F.count("*").alias("n")).where("n > 1")
     return groups.agg(F.count("*").alias("duplicate_groups"), F.sum(F.col("n") - 1).alias("spare"))
