@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from vellum.operators import groups, inventory, spatial
 from vellum.plans import passes as plans
 from vellum.session import spread
-from vellum.sources import analysis, documents
+from vellum.sources import analysis, cos, documents, text_state
 
 
 def equals_sql(spark, name: str, folder, *tables: str) -> list[tuple]:
@@ -112,3 +112,26 @@ def test_one_pass_finds_what_joins_find(spark, data):
         assert rows(found.select("doc_id", "num", "canonical")) == rows(inventory.form_twins(objects, edges, ignored))
     reached = analysis.scan_roles(made, ("type", "subtype", "reached")).where("reached AND type = 'stream' AND subtype = 'Image'")
     assert reached.count() == inventory.streams_with_subtype(objects, edges, "Image").count() > 0
+
+
+def test_hidden_text_is_found_in_one_pass(spark, data):
+    parts = [b"/OC /L BDC", b"EMC", b"q", b"Q", b"0 g", b"1 g", b"/G gs", b"3 Tr", b"0 Tr", b"7 Tr", b"0 0 30 30 re W n", b"/Im Do", b"200 0 0 200 0 0 cm", b"0 0 200 200 re f", b"10 10 40 30 re f", b"BT /F 9 Tf 1 0 0 1 12 12 Tm (ab) Tj ET", b"BT /F 9 Tf 1 0 0 1 900 12 Tm (far) Tj ET", b"BT /F 9 Tf 0 0 0 0 12 12 Tm (flat) Tj ET", b"/S <</ActualText (x)>> BDC"]
+    name, ref, rng = cos.Name, cos.Ref, np.random.default_rng(5)
+    files = []
+    for k in range(60):
+        content = b"\n".join(parts[i] for i in rng.integers(0, len(parts), 25))
+        objects = {
+            ref(1): {"Type": name("Catalog"), "Pages": ref(2), "OCProperties": {"OCGs": [ref(6)], "D": {"OFF": [ref(6)]}}},
+            ref(2): {"Type": name("Pages"), "Kids": [ref(3)], "Count": 1, "MediaBox": [0, 0, 200, 200]},
+            ref(3): {"Type": name("Page"), "Parent": ref(2), "Contents": ref(4), "Resources": {"XObject": {"Im": ref(5)}, "ExtGState": {"G": {"ca": 0 if k % 3 == 0 else 1}}, "Properties": {"L": ref(6)}}},
+            ref(4): cos.Stream({}, content),
+            ref(5): cos.Stream({"Type": name("XObject"), "Subtype": name("Image"), "Width": 1, "Height": 1}, b"x"),
+            ref(6): {"Type": name("OCG"), "Name": b"a"},
+        }
+        files.append((f"{k}.pdf", bytearray(cos.write(cos.Document(objects, {"Root": ref(1)}, "", 0)))))
+    made = spark.createDataFrame(files, "path string, content binary")
+    one, joined = text_state.scan_hidden(made), text_state.hidden_text(text_state.scan_events(made))
+    assert sorted(map(str, one.collect())) == sorted(map(str, joined.select(*one.columns).collect()))
+    assert len({r.mechanism for r in one.collect()}) >= 7
+    for plan in (one, entry.queries()["adapter_hidden_text"](spark, data)):
+        assert "Join" not in plan_of(plan)

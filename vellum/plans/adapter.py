@@ -75,7 +75,7 @@ def adapter_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def adapter_hidden_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hidden texts by mechanism, those below the page left aside."""
-    found = text_state.hidden_text(text_state.scan_events(files(spark, sf_dir)))
+    found = text_state.scan_hidden(files(spark, sf_dir))
     return found.where("mechanism = 'rendering-mode-invisible'").groupBy("mechanism", "category", "action").agg(F.count("*").alias("texts"))
 
 

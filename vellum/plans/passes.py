@@ -335,7 +335,7 @@ def normalised_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def removed_hidden_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in the invisible mode taken out of files; all others stay."""
     made = stored(spark, sf_dir)
-    found = text_state.hidden_text(text_state.scan_events(made)).withColumn("remove", F.col("mechanism") == "rendering-mode-invisible")
+    found = text_state.scan_hidden(made).withColumn("remove", F.col("mechanism") == "rendering-mode-invisible")
     clean = checkpoint(passes.remove_hidden(made, found))
     events = text_state.scan_events(clean).where("event = 'text'")
     counts = _took(clean, "hidden").agg(F.coalesce(F.sum("removed"), F.lit(0)).alias("removed"))

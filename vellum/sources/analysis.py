@@ -315,7 +315,7 @@ def summaries(files: DataFrame) -> DataFrame:
     wasted = copies.groupBy("doc_id").agg(F.sum(waste).alias("duplicate_stream_wasted_bytes"), *(F.sum(F.when(F.col("role") == r, waste).otherwise(0)).alias(f"duplicate_{r}_wasted_bytes") for r in ("image", "form", "metadata")))
     paged = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
     density = content_density(documents.parse_content(pages))
-    hidden = text_state.hidden_text(text_state.scan_events(files)).groupBy("doc_id").agg(F.count("*").alias("hidden_text_findings"))
+    hidden = text_state.scan_hidden(files).groupBy("doc_id").agg(F.count("*").alias("hidden_text_findings"))
     out = paths.join(base, "doc_id")
     for part in (wasted, paged, density, hidden):
         out = out.join(part, "doc_id", "left")
