@@ -135,3 +135,8 @@ def test_hidden_text_is_found_in_one_pass(spark, data):
     assert len({r.mechanism for r in one.collect()}) >= 7
     for plan in (one, entry.queries()["adapter_hidden_text"](spark, data)):
         assert "Join" not in plan_of(plan)
+
+
+def test_texts_are_put_into_files_once(spark, data):
+    plan = plan_of(entry.queries()["adapter_text"](spark, data))
+    assert plan.count("MapInArrow") == 3  # pages, their instructions and objects; the files are stored

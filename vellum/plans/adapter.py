@@ -12,7 +12,7 @@ from vellum.functions.codecs import flate
 from vellum.functions.scalars import decode_text_string
 from vellum.operators.aggregate import content_density
 from vellum.plans.registry import query
-from vellum.session import read_table
+from vellum.session import checkpoint, read_table
 from vellum.sources import analysis, cos, documents, text_state
 
 
@@ -47,11 +47,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("adapter_text", "SELECT CAST(doc_id AS VARCHAR) AS title, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
 def adapter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts read back from the files' content streams."""
-    made = files(spark, sf_dir)
+    made = checkpoint(files(spark, sf_dir))  # read twice, and making them is most of the work
     shown = documents.parse_content(documents.scan_pages(made)).where("op = 'Tj'")
     lines = shown.select("doc_id", F.struct("seq", decode_text_string(F.col("operands")[0]["str"]).alias("line")).alias("x"))
     texts = lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
-    titles = documents.scan_objects(made).where(F.array_contains("keys", "Title"))
+    titles = documents.scan_objects(made, ("doc_id", "keys", "value")).where(F.array_contains("keys", "Title"))
     titles = titles.select("doc_id", F.decode(F.unhex(F.regexp_extract("value", "<([0-9a-f]*)>", 1)), "UTF-8").alias("title"))
     return titles.join(texts, "doc_id").select("title", "lines", F.sha2("text", 256).alias("digest"))
 
