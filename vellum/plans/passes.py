@@ -199,7 +199,7 @@ def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("event_page_class", f"SELECT class, COUNT(*) AS pages FROM (SELECT 'native' AS class {_FROM} UNION ALL SELECT 'native' {_FROM}) GROUP BY 1")
 def event_page_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page classes from the paints that contents make."""
-    facts = text_state.page_facts(text_state.scan_events(files(spark, sf_dir)))
+    facts = text_state.page_facts(text_state.scan_events(stored(spark, sf_dir)))  # read for counts and for covers
     kind = page_class(F.col("paints"), F.col("coverage"), F.col("visible_native"), F.col("image_paints"), F.col("unknown_paints"), F.col("complete"))
     return facts.groupBy(kind.alias("class")).agg(F.count("*").alias("pages"))
 
